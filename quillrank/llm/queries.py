@@ -4,19 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import order_minhash, prefix_tokens, simhash, slots
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_docs(spark, sf_dir))
+
+
+def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.token_counts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sixteen = slots.SlotMap.first(16)
+    return slots.shard(_docs(spark, sf_dir), sixteen, sixteen.grow())
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op3_order_minhash": op3_order_minhash, "op5_prefix_tokens": op5_prefix_tokens, "op9_virtual_slots": op9_virtual_slots}
 
 
 def oracle_sql() -> dict:
