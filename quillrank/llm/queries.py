@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import order_minhash, prefix_tokens, simhash, slots
+from . import mixing, order_minhash, packing, prefix_tokens, simhash, slots
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op2_split_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_docs(spark, sf_dir))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_docs(spark, sf_dir))
 
@@ -30,13 +34,17 @@ def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     sixteen = slots.SlotMap.first(16)
     return slots.shard(_docs(spark, sf_dir), sixteen, sixteen.grow())
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_order_minhash": op3_order_minhash, "op5_prefix_tokens": op5_prefix_tokens, "op9_virtual_slots": op9_virtual_slots}
+    return {f.__name__: f for f in (op1_simhash, op2_split_tree, op3_order_minhash, op5_prefix_tokens, op6_best_fit, op9_virtual_slots)}
 
 
 def oracle_sql() -> dict:
