@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, order_minhash, packing, prefix_tokens, simhash, slots
+from . import mixing, order_minhash, packing, prefix_tokens, quality, simhash, slots, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -30,6 +34,11 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_docs(spark, sf_dir))
 
 
+def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, _labels(spark, sf_dir)))
+
+
 def op5_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=1024)
 
@@ -43,8 +52,16 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard(_docs(spark, sf_dir), sixteen, sixteen.grow())
 
 
+def op10_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+
+
+REGISTERED = (op1_simhash, op2_split_tree, op3_order_minhash, op4_bradley_terry, op5_prefix_tokens, op6_best_fit, op9_virtual_slots, op10_bigru)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_split_tree, op3_order_minhash, op5_prefix_tokens, op6_best_fit, op9_virtual_slots)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict:
