@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, order_minhash, packing, prefix_tokens, quality, simhash, slots, toxicity
+from . import mixing, order_minhash, packing, pii, prefix_tokens, quality, simhash, slots, toxicity, vector_join
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op7_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_docs(spark, sf_dir))
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     sixteen = slots.SlotMap.first(16)
     return slots.shard(_docs(spark, sf_dir), sixteen, sixteen.grow())
@@ -57,12 +65,32 @@ def op10_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
-REGISTERED = (op1_simhash, op2_split_tree, op3_order_minhash, op4_bradley_terry, op5_prefix_tokens, op6_best_fit, op9_virtual_slots, op10_bigru)
+REGISTERED = (op1_simhash, op2_split_tree, op3_order_minhash, op4_bradley_terry, op5_prefix_tokens, op6_best_fit, op7_pigeonhole, op8_contextual_pii, op9_virtual_slots, op10_bigru)
 
 
 def queries() -> dict:
     return {f.__name__: f for f in REGISTERED}
 
 
+ORACLES = {
+    "op7_pigeonhole": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98::DOUBLE
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM component c LEFT JOIN degree d USING (vec_id)
+""",
+}
+
+
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

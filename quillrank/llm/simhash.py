@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import blocks, by_block, pairs_in_runs
@@ -46,15 +46,20 @@ def fingerprint(text: str | bytes | None, words: int = 4) -> int:
 
 
 def with_fingerprint(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns doc_id and fp (the fingerprint's 64 bits as a signed long), one row for each row of ``docs``."""
+    """Columns doc_id, th (hash of the text) and fp (the fingerprint's 64 bits as a signed long), a row for each of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = np.array([fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text"))
+    return kept.mapInArrow(run, "doc_id long, th long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -126,6 +131,15 @@ def links(fps: DataFrame, bits: int = 4, chunk: int = 2048) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
 
 
+def _with_root(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th, fp and ``root``, the least fingerprint of the row's component."""
+    marked = materialise(with_fingerprint(docs, words, id_col, text_col), "simhash")
+    nodes = materialise(marked.select("fp").distinct(), "fingerprints")
+    roots = components(links(nodes, bits))
+    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return marked.join(known, "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (smallest doc_id that links reach, itself included).
 
@@ -134,10 +148,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     their component is the smallest id that is not null, or null where there is none. An empty table gives no rows;
     columns other than the two named are ignored.
     """
-    marked = materialise(with_fingerprint(docs, words, id_col, text_col), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    roots = components(links(nodes, bits))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = linked.join(least, "root").select("fp", "component_id")
-    return marked.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = materialise(_with_root(docs, words, bits, id_col, text_col).select("doc_id", "fp", "root"), "rooted")
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stay, unchanged: of each component the one with the smallest id (ties: the least hash of the text).
+
+    A row with a null id stays only where its component has no other; of rows equal in id and text one stays. Only ids
+    and hashes are grouped; the texts are filtered by them.
+    """
+    rows = _with_root(docs, words, bits, "doc_id", "text")
+    each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
+    keep = materialise(first.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.th").alias("_keep_th"), F.col("k.n").alias("_keep_n")), "keepers")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (text_hash(F.col("text").cast("string")) == F.col("_keep_th"))
+    out = docs.join(keep.where("_keep_n = 1"), same, "left_semi")
+    repeated = keep.where("_keep_n > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(docs.join(repeated, same).dropDuplicates(["_keep_id", "_keep_th"]).select(*docs.columns))
