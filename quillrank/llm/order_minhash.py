@@ -20,6 +20,8 @@ from .common import slices
 
 _M1, _M2, _GOLD, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
+_PLACE = np.uint64(26)  # bits of a position
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -42,17 +44,21 @@ def signature(text: str, k: int = 8, sketches: int = 64, each: int = 2) -> np.nd
         left ^= left >> np.uint64(32)
         h, width = left, width + step
     n = len(h)
-    # occurrence numbers: sort by the hash's high bits and then by position, in one word
-    low = np.uint64(n.bit_length())
-    packed = ((_mix(h) >> low) << low) | np.arange(n, dtype=np.uint64)
-    packed.sort()
-    same = packed >> low
+    # occurrence numbers: sort by the hash's high bits and then by position, in one word; as many bits at any length
+    same, at = _mix(h) >> _PLACE, np.arange(n, dtype=np.uint64)
+    if n < 1 << int(_PLACE):
+        packed = (same << _PLACE) | at
+        packed.sort()
+        same, at = packed >> _PLACE, packed & ((np.uint64(1) << _PLACE) - np.uint64(1))
+    else:
+        at = np.argsort(same, kind="stable").astype(np.uint64)
+        same = same[at]
     begin = np.flatnonzero(same[1:] != same[:-1]) + 1
     runs = np.diff(begin, prepend=0, append=n)
     pairs = same * _GOLD
     if len(runs) < n:
         pairs += (np.arange(n) - np.repeat(np.concatenate([[0], begin]), runs)).astype(np.uint64) * _M2
-    pairs, at = _mix(pairs), packed & ((np.uint64(1) << low) - np.uint64(1))
+    pairs = _mix(pairs)
     shift = np.uint64(65 - sketches.bit_length())  # the high bits are the entry, the others the rank
     wanted = 4 * each + 12  # of each entry; only if one is left with too few are all pairs ranked
     if n > wanted * sketches:
