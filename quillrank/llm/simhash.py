@@ -2,15 +2,17 @@
 
 A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such vectors
 never exceeds the Hamming distance of the fingerprints, so a range join of the vectors at distance ``bits`` finds every
-link. The join is a grid join: the segments are cut into ``bits + 2`` groups, of which two vectors within ``bits`` must
-agree wholly in at least two, so each fingerprint is filed under the counts of every two groups; in a cell the whole
-Manhattan distance is taken first, and only what passes is compared bit by bit.
+link. The join is a grid join: the segments are cut into ``bits + c`` groups, of which two vectors within ``bits`` must
+agree wholly in at least c, so each fingerprint is filed under the counts of every c groups; in a cell the whole
+Manhattan distance is taken first, and only what passes is compared bit by bit. c is 2 for a few million fingerprints
+and grows with their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -83,24 +85,42 @@ def _group_masks(groups: int) -> list[int]:
     return [sum(3 << (2 * s) for s in range(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def links(fps: DataFrame, bits: int = 4, chunk: int = 2048) -> DataFrame:
-    """Edges (a, b) that span the components of ``fps`` (distinct, column fp) under Hamming distance <= bits."""
-    masks = _group_masks(bits + 2)
-    cells = [masks[i] | masks[j] for i, j in combinations(range(bits + 2), 2)]
+def agreeing(n: int, bits: int) -> int:
+    """How many of ``bits`` plus that many groups must agree in a cell: the least work for n fingerprints.
+
+    Any choice finds every link. More groups give more, narrower cells: a row is filed once for each, and the rows that
+    meet in one by chance fall by the 1.5 bits that a segment's count carries. A comparison costs a hundredth of a filing.
+    """
+    work = lambda c: comb(bits + c, c) * (1 + 0.01 * n / 2 ** (48 * c / (bits + c)))
+    return min(range(2, 7), key=work)
+
+
+def links(nodes: DataFrame, coarse: list[str], wide: list[str] = (), bits: int = 4, wide_bits: int = 0, chunk: int = 2048) -> DataFrame:
+    """Edges (a, b) that span the components of the rows of ``nodes`` (distinct longs ``node``).
+
+    Two rows are linked when one of the fingerprints ``coarse`` differs in at most ``bits`` bits and, where there are
+    ``wide`` columns, these differ in at most ``wide_bits`` bits together. Every such pair meets in a cell of the grid.
+    """
+    c = agreeing(nodes.count(), bits)
+    masks = _group_masks(bits + c)
+    cells = [sum(masks[i] for i in chosen) for chosen in combinations(range(bits + c), c)]
+    wide = list(wide)
+    names = ["cell", "fp", "node", *wide]
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
-            counts = segment_counts(fp.view(np.uint64))
-            for n, m in enumerate(cells):
-                key = (counts & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-                key = (key * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(n)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp)], names=["cell", "fp"])
+            for f in range(len(coarse)):
+                counts = segment_counts(b.column(f).to_numpy().view(np.uint64))
+                for n, m in enumerate(cells):
+                    key = (counts & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                    key = (key * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(f * len(cells) + n)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(f), *b.columns[len(coarse) :]], names=names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each(c: dict) -> pa.RecordBatch:
-            fp = c["fp"].view(np.uint64)
+        def each(c: dict) -> pa.RecordBatch | None:
+            fp, node = c["fp"].view(np.uint64), c["node"]
+            more = [c[w].view(np.uint64) for w in wide]
             counts = segment_counts(fp)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
@@ -114,9 +134,13 @@ def links(fps: DataFrame, bits: int = 4, chunk: int = 2048) -> DataFrame:
                 near = manhattan(counts[i], counts[j]) <= bits
                 i, j = i[near], j[near]
                 near = np.bitwise_count(fp[i] ^ fp[j]) <= bits
-                if near.any():
-                    found.append((c["fp"][i[near]], c["fp"][j[near]]))
-                    held += int(near.sum())
+                i, j = i[near], j[near]
+                if more:
+                    near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in more) <= wide_bits
+                    i, j = i[near], j[near]
+                if len(i):
+                    found.append((node[i], node[j]))
+                    held += len(i)
                 if held > 1 << 20:
                     shrink()
             if found:
@@ -126,18 +150,55 @@ def links(fps: DataFrame, bits: int = 4, chunk: int = 2048) -> DataFrame:
 
         yield from by_block(batches, ["block", "ci", "cj"], each)
 
-    filed = fps.select("fp").mapInArrow(file, "cell long, fp long")
-    dealt = blocks(filed, "cell", "fp", chunk).select("block", "ci", "cj", "fp")
+    filed = nodes.select(*[F.col(x).alias(f"f{i}") for i, x in enumerate(coarse)], "node", *wide).mapInArrow(file, ", ".join(f"{x} long" for x in names))
+    dealt = blocks(filed, "cell", "node", chunk).select("block", "ci", "cj", "fp", "node", *wide)
     return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
 
 
+#: Columns of the sketch that ``deduplicate`` takes: fingerprints of the set of words, and 256 bits of five-word shingles.
+COARSE, WIDE = ("c0", "c1", "c2"), ("w0", "w1", "w2", "w3")
+
+
+def _majority(hashes: np.ndarray, of: int, salt: int) -> list[int]:
+    """``of`` 64-bit majority fingerprints of a set of hashes, each from another remix."""
+    ones = np.zeros((of, 64), np.int64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        for k in range(of):
+            x = part * np.uint64(0x9E3779B97F4A7C15 + 2 * (salt + k) * 0x1234567)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(o * 2 > len(hashes), bitorder="little").tobytes(), "little") for o in ones]
+
+
+def sketch(text: str | bytes | None, words: int = 5) -> list[int]:
+    """The 64-bit values of ``COARSE`` and ``WIDE``; all 0 for a text without words.
+
+    An edited word changes one word of a text but ``words`` of its shingles, so texts whose shingles are four fifths the
+    same have word sets whose fingerprints lie within a few bits. The shingles' own 256 bits then tell their likeness.
+    """
+    raw = b"" if text is None else text.encode() if isinstance(text, str) else text
+    found = raw.lower().split()
+    if not found:
+        return [0] * (len(COARSE) + len(WIDE))
+    hash_of = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
+    one = np.fromiter((hash_of[w] for w in found), np.uint64, len(found))
+    n = max(1, len(one) - words + 1)
+    runs = np.zeros(n, np.uint64)
+    for k in range(min(words, len(one))):  # the order of the words counts
+        runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + one[k : k + n]
+    return _majority(np.unique(one), len(COARSE), 0) + _majority(np.unique(runs), len(WIDE), 64)
+
+
 def _with_root(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th, fp and ``root``, the least fingerprint of the row's component."""
     marked = materialise(with_fingerprint(docs, words, id_col, text_col), "simhash")
     nodes = materialise(marked.select("fp").distinct(), "fingerprints")
-    roots = components(links(nodes, bits))
-    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return marked.join(known, "fp")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), ["fp"], bits=bits))
+    # two written tables: a fingerprint that many rows share makes a join that adaptive execution can split
+    return marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,17 +210,37 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     columns other than the two named are ignored.
     """
     rows = materialise(_with_root(docs, words, bits, id_col, text_col).select("doc_id", "fp", "root"), "rooted")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+def with_sketch(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Columns doc_id, th (hash of the text) and the sketch, a row for each of ``docs``."""
+    names = [*COARSE, *WIDE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            got = np.array([sketch(t, words) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(got[:, k].copy()) for k in range(len(names))]], names=["doc_id", "th", *names])
+
+    text = F.col("text").cast("string")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text"))
+    return kept.mapInArrow(run, ", ".join(f"{x} long" for x in ["doc_id", "th", *names]))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, bits: int = 4, wide_bits: int = 46) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: of each component the one with the smallest id (ties: the least hash of the text).
 
-    A row with a null id stays only where its component has no other; of rows equal in id and text one stays. Only ids
-    and hashes are grouped; the texts are filtered by them.
+    Texts are linked when their word sets' fingerprints lie within ``bits`` bits (one of three) and the 256 bits of their
+    ``words``-word shingles within ``wide_bits``: a likeness of four fifths changes 39 of 256 bits on average, one of a
+    half 69. A row with a null id stays only where its component has no other; of rows equal in id and text one stays.
+    Null texts are empty, and texts without words are one component. Only ids and hashes are grouped; the texts are
+    filtered by them.
     """
-    rows = _with_root(docs, words, bits, "doc_id", "text")
+    marked = materialise(with_sketch(docs, words), "sketches")
+    nodes = materialise(marked.select(F.col("th").alias("node"), *COARSE, *WIDE).distinct(), "nodes")
+    roots = components(links(nodes, list(COARSE), WIDE, bits, wide_bits))
+    rows = marked.select("doc_id", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
     each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
     keep = materialise(first.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.th").alias("_keep_th"), F.col("k.n").alias("_keep_n")), "keepers")
