@@ -70,7 +70,10 @@ def with_blocks(corpus: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 class Searcher:
-    """Search over a table of items (see ``sources.items``). No session is configured unless one is given."""
+    """Search over a table of items (see ``sources.items``). No session is configured unless one is given.
+
+    ``digits`` rounds scores before they are ranked, so that ties don't depend on how sums are ordered.
+    """
 
     def __init__(
         self,
@@ -82,6 +85,7 @@ class Searcher:
         candidate_limit: int = DEFAULT_CANDIDATES,
         mode: Mode = Mode.AUTO,
         sink: Sink = ignore,
+        digits: int | None = None,
     ):
         corpus = build_corpus(items)
         if embedder is not None:
@@ -89,7 +93,7 @@ class Searcher:
             corpus = corpus.join(found, "id", "left").withColumn("embedding", F.col("_e")).select(*corpus.columns)
         self.corpus = corpus.persist()
         self.count = self.corpus.count()  # embeds now: an error is raised here
-        self.embedder, self.weights, self.mode, self.sink = embedder, weights, mode, sink
+        self.embedder, self.weights, self.mode, self.sink, self.digits = embedder, weights, mode, sink, digits
         self.tier = None
         if session is not None:
             config = SelectionConfig(lambda prefix, _grammar: session(prefix), preamble, candidate_limit=candidate_limit)
@@ -110,7 +114,7 @@ class Searcher:
     def _ordering(self, query: str) -> DataFrame:
         if not self.count:
             return self.corpus.select("pos", "id", *[F.lit(0.0).alias(c) for c in ("score", "bm25", "trigram", "cosine")])
-        return full_ordering(self.corpus, query, self._query_vector(query), self.weights)
+        return full_ordering(self.corpus, query, self._query_vector(query), self.weights, self.digits)
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """The best rows: by retrieval, or as the configured model selects."""
@@ -120,7 +124,7 @@ class Searcher:
             return self.tier.search(query, limit)
         if limit <= 0 or not self.count:
             return with_blocks(self.corpus, top_matches(self.corpus, query, 0))
-        return with_blocks(self.corpus, top_matches(self.corpus, query, limit, self._query_vector(query), self.weights))
+        return with_blocks(self.corpus, top_matches(self.corpus, query, limit, self._query_vector(query), self.weights, self.digits))
 
 
 def format_matches(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +22,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in (defaults | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines see, as the session names it; where it names none (tests), a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = os.path.join(tempfile.gettempdir(), "quillrank-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

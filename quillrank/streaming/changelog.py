@@ -172,7 +172,7 @@ class StreamingCorpus:
     def is_empty(self) -> bool:
         return self.snapshot().isEmpty()
 
-    def search(self, query: str, limit: int = 20, version: str | None = None) -> DataFrame:
+    def search(self, query: str, limit: int = 20, version: str | None = None, digits: int | None = None) -> DataFrame:
         """The best rows of one version. The cosine counts only if every live row has an embedding."""
         corpus = self.snapshot(version)
         if limit <= 0 or corpus.isEmpty():
@@ -185,7 +185,7 @@ class StreamingCorpus:
                 vector = None
         if not vector:
             self.sink(EmbeddingUnavailable())
-        return with_blocks(corpus, top_matches(corpus, query, limit, vector))
+        return with_blocks(corpus, top_matches(corpus, query, limit, vector, digits=digits))
 
 
 def change_stream(spark: SparkSession, folder: str) -> DataFrame:
