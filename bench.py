@@ -22,7 +22,7 @@ def main() -> None:
     known, took = registry.queries(), {}
     for name in os.environ.get("BENCH_QUERIES", ",".join(QUERIES)).split(","):
         runs = []
-        for _ in range(1 + int(os.environ.get("BENCH_RUNS", "3"))):  # the first warms up
+        for _ in range(1 + int(os.environ.get("BENCH_RUNS", "2"))):  # the first warms up
             start = time.perf_counter()
             known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
