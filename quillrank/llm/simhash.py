@@ -10,7 +10,7 @@ and grows with their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -155,41 +155,130 @@ def links(nodes: DataFrame, coarse: list[str], wide: list[str] = (), bits: int =
     return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
 
 
-#: Columns of the sketch that ``deduplicate`` takes: fingerprints of the set of words, and 256 bits of five-word shingles.
-COARSE, WIDE = ("c0", "c1", "c2"), ("w0", "w1", "w2", "w3")
+#: Of the MINIMA least shingle hashes of a text, BANDS groups of ROWS are cells in which texts meet. A likeness of four
+#: fifths misses all of them once in 3e5 pairs, one of 0.85 once in 9e7.
+BANDS, ROWS, MINIMA = 24, 4, 128
+KEYS, SIGNATURE = tuple(f"k{i}" for i in range(BANDS)), tuple(f"s{i}" for i in range(MINIMA // 8))
+_RANKINGS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _majority(hashes: np.ndarray, of: int, salt: int) -> list[int]:
-    """``of`` 64-bit majority fingerprints of a set of hashes, each from another remix."""
-    ones = np.zeros((of, 64), np.int64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        for k in range(of):
-            x = part * np.uint64(0x9E3779B97F4A7C15 + 2 * (salt + k) * 0x1234567)
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(29)
-            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(o * 2 > len(hashes), bitorder="little").tobytes(), "little") for o in ones]
-
-
-def sketch(text: str | bytes | None, words: int = 5) -> list[int]:
-    """The 64-bit values of ``COARSE`` and ``WIDE``; all 0 for a text without words.
-
-    An edited word changes one word of a text but ``words`` of its shingles, so texts whose shingles are four fifths the
-    same have word sets whose fingerprints lie within a few bits. The shingles' own 256 bits then tell their likeness.
-    """
+def shingles(text: str | bytes | None, words: int = 5) -> np.ndarray:
+    """The ascending distinct hashes of all runs of ``words`` words; one of the whole text where it has fewer, 0 where none."""
     raw = b"" if text is None else text.encode() if isinstance(text, str) else text
     found = raw.lower().split()
     if not found:
-        return [0] * (len(COARSE) + len(WIDE))
+        return np.zeros(1, np.uint64)
     hash_of = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
     one = np.fromiter((hash_of[w] for w in found), np.uint64, len(found))
     n = max(1, len(one) - words + 1)
     runs = np.zeros(n, np.uint64)
     for k in range(min(words, len(one))):  # the order of the words counts
         runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + one[k : k + n]
-    return _majority(np.unique(one), len(COARSE), 0) + _majority(np.unique(runs), len(WIDE), 64)
+    return np.unique(runs)
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of ``KEYS`` and the 64-bit values of ``SIGNATURE``, a byte of each minimum, for a text's shingle hashes."""
+    least = np.full(MINIMA, ~np.uint64(0))
+    for at in range(0, len(hashes), 256):
+        x = hashes[None, at : at + 256] * _RANKINGS[:, None]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(least, x.min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys, ((least >> np.uint64(8)) & np.uint64(255)).astype(np.uint8).view(np.uint64)
+
+
+def alike(x: np.ndarray, y: np.ndarray, likeness: float) -> bool:
+    """Whether the Jaccard likeness of two arrays of distinct hashes is at least ``likeness``."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= likeness * (len(x) + len(y) - both) - 1e-9
+
+
+def _stars(c: dict, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch | None:
+    """Edges that span the components of the pairs in blocks for which ``near`` holds; pairs that are linked already are not asked."""
+    nodes, at = np.unique(c["node"], return_inverse=True)
+    root = np.arange(len(nodes))
+    a = b = root[:0]
+    for i, j in pairs_in_runs(c["block"], c["ci"], c["cj"]):
+        apart = root[at[i]] != root[at[j]]
+        i, j = i[apart], j[apart]
+        if len(i):
+            hit = near(i, j)
+            i, j = i[hit], j[hit]
+        if len(i):
+            a, b = forest(np.concatenate([a, at[i]]), np.concatenate([b, at[j]]))
+            root[a] = b
+    return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"]) if len(a) else None
+
+
+def candidates(nodes: DataFrame, likeness: float, chunk: int = 2048) -> DataFrame:
+    """Edges that span the components of texts that share a cell and may be ``likeness`` alike, by size and signature.
+
+    ``nodes`` has longs node, size (number of shingles), ``KEYS`` and ``SIGNATURE``. The signature must show no less
+    than five deviations under the likeness.
+    """
+    least = MINIMA * likeness - 5 * (MINIMA * likeness * (1 - likeness)) ** 0.5
+    names = ["cell", "node", "size", *SIGNATURE]
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(BANDS):
+                yield pa.RecordBatch.from_arrays([b.column(k), *b.columns[BANDS:]], names=names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each(c: dict) -> pa.RecordBatch | None:
+            size, mark = c["size"], np.stack([c[x] for x in SIGNATURE], axis=1).view(np.uint8)
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                hit = np.minimum(size[i], size[j]) >= likeness * np.maximum(size[i], size[j]) - 1e-9
+                at = np.flatnonzero(hit)
+                hit[at] = np.count_nonzero(mark[i[at]] == mark[j[at]], axis=1) >= least
+                return hit
+
+            return _stars(c, near)
+
+        yield from by_block(batches, ["block", "ci", "cj"], each, 16384)
+
+    filed = nodes.select(*KEYS, "node", "size", *SIGNATURE).mapInArrow(file, ", ".join(f"{x} long" for x in names))
+    dealt = blocks(filed, "cell", "node", chunk).select("block", "ci", "cj", "node", "size", *SIGNATURE)
+    return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
+
+
+def verified(texts: DataFrame, words: int, likeness: float, chunk: int = 1024) -> DataFrame:
+    """Edges that span the components of texts of one group whose shingles are ``likeness`` alike, compared whole.
+
+    ``texts`` has longs node and cell (the group) and the text. A pair that is linked already is not compared again.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingles(t, words).view(np.int64) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "cell", "sets"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each(c: dict) -> pa.RecordBatch | None:
+            ends, values = c["sets"].offsets.to_numpy(), c["sets"].values.to_numpy()
+            size = np.diff(ends)
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                hit = np.minimum(size[i], size[j]) >= likeness * np.maximum(size[i], size[j]) - 1e-9
+                for k in np.flatnonzero(hit):
+                    x, y = i[k], j[k]
+                    hit[k] = alike(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]], likeness)
+                return hit
+
+            return _stars(c, near)
+
+        yield from by_block(slices(batches, 1024), ["block", "ci", "cj"], each, 1024)
+
+    rows = materialise(texts.select("node", "cell", "text").mapInArrow(cut, "node long, cell long, sets array<long>"), "shingles")
+    dealt = blocks(rows, "cell", "node", chunk).select("block", "ci", "cj", "node", "sets")
+    return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
 
 
 def _with_root(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
@@ -215,31 +304,39 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
 
 
 def with_sketch(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Columns doc_id, th (hash of the text) and the sketch, a row for each of ``docs``."""
-    names = [*COARSE, *WIDE]
+    """Columns doc_id, th (hash of the text), size (number of shingles) and the sketch, a row for each of ``docs``."""
+    names = ["doc_id", "th", "size", *KEYS, *SIGNATURE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = np.array([sketch(t, words) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(got[:, k].copy()) for k in range(len(names))]], names=["doc_id", "th", *names])
+            sets = [shingles(t, words) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            got = np.array([np.concatenate(sketch(x)) for x in sets], np.uint64).view(np.int64)
+            size = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, *[pa.array(x) for x in np.ascontiguousarray(got.T)]], names=names)
 
     text = F.col("text").cast("string")
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text"))
-    return kept.mapInArrow(run, ", ".join(f"{x} long" for x in ["doc_id", "th", *names]))
+    return kept.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def deduplicate(docs: DataFrame, words: int = 5, bits: int = 4, wide_bits: int = 46) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, likeness: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: of each component the one with the smallest id (ties: the least hash of the text).
 
-    Texts are linked when their word sets' fingerprints lie within ``bits`` bits (one of three) and the 256 bits of their
-    ``words``-word shingles within ``wide_bits``: a likeness of four fifths changes 39 of 256 bits on average, one of a
-    half 69. A row with a null id stays only where its component has no other; of rows equal in id and text one stays.
-    Null texts are empty, and texts without words are one component. Only ids and hashes are grouped; the texts are
-    filtered by them.
+    Texts are linked when the Jaccard likeness of their sets of ``words``-word shingles is at least ``likeness``. Shingle
+    minima draw the candidates (``BANDS`` and ``ROWS`` suit likenesses of about 0.8 and up); in each component of
+    candidates the shingles are compared whole. A row with a null id stays only where its component has no other; of rows
+    equal in id and text one stays. Null texts are empty, and texts without words are one component. Ids, hashes and,
+    of candidates, shingles are grouped; the texts are filtered by them.
     """
     marked = materialise(with_sketch(docs, words), "sketches")
-    nodes = materialise(marked.select(F.col("th").alias("node"), *COARSE, *WIDE).distinct(), "nodes")
-    roots = components(links(nodes, list(COARSE), WIDE, bits, wide_bits))
+    nodes = materialise(marked.groupBy(F.col("th").alias("node"), "size", *KEYS, *SIGNATURE).agg(F.min("doc_id").alias("one")), "nodes")
+    groups = components(candidates(nodes, likeness))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    asked = materialise(nodes.select("node", "one").join(groups, "node").withColumnRenamed("root", "cell"), "candidates")
+    text = F.col("text").cast("string")
+    mine = (text_hash(text) == F.col("node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("one"))
+    texts = docs.select("doc_id", "text").join(asked, mine).select("node", "cell", text.alias("text"))
+    roots = components(verified(texts, words, likeness))
     rows = marked.select("doc_id", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
     each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))

@@ -101,6 +101,25 @@ def test_deduplicate_near_copies(spark):
     assert simhash.deduplicate(edge(spark)).count() == 5  # one without words, one of the repeated text, and three others
 
 
+def test_deduplicate_finds_appended_cut_and_short_copies(spark):
+    """Against brute force over the five-word shingles: copies with a passage inserted, appended or cut, at many lengths."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    texts = []
+    for n in (10, 15, 20, 40, 100, 300, 1500):
+        for k in range(12):
+            t = rng.choices(vocabulary, k=n)
+            more, at = rng.choices(vocabulary, k=max(1, n * (4 + k) // 80)), rng.randrange(n)
+            texts += [t, (t + more, t[: n - len(more)], t[len(more) :], t[:at] + more + t[at:])[k % 4]]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    for _ in range(3):
+        least = [min(least[b] for b, y in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)) for x in sets]
+    want = {i for i, x in enumerate(least) if x == i}
+    assert 50 < len(texts) - len(want)
+    assert {r.doc_id for r in simhash.deduplicate(edge(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()} == want
+
+
 def test_contextual_patterns_find_unseen_identifiers(spark):
     seen = [(i, f"filler {i} reach me at mailbox user{i}@host{i}.example.com today") for i in range(12)]
     unseen = [(100 + i, f"filler {i} reach me at mailbox odd{i}@localhost today") for i in range(3)]
