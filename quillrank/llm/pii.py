@@ -31,6 +31,9 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: What an unknown token must look like to be taken for a kind.
 SHAPES = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^(?=.*[0-9])[0-9a-fA-F]*(?:[.:][0-9a-fA-F]*){2,}$", "card": r"^(?:[0-9]-?){12,19}$", "phone": r"^\+?[(]?(?:[0-9][().-]*){7,15}$"}
 
+#: So many characters left of a span its context is read from.
+NEAR = 80
+
 _SPAN = "array<struct<kind:int,start:int,end:int,match:string,left:string>>"
 
 
@@ -48,20 +51,24 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(number) - 1), F.lit(0), add) % 10 == 0
 
 
-def _left(gap: Column) -> Column:
+def _left(before: Column) -> Column:
     """The last two words of what stands before, lower-cased, digits as 9, spaces as one."""
-    tail = F.regexp_extract(F.lower(F.right(gap, F.lit(80))), r"(?:\S+\s+)?\S+\s*$", 0)
+    tail = F.regexp_extract(F.lower(F.right(before, F.lit(NEAR))), r"(?:\S+\s+)?\S+\s*$", 0)
     return F.regexp_replace(F.regexp_replace(tail, "[0-9]", "9"), r"\s+", " ")
 
 
 def found(text: Column, pattern: str, kind: int) -> Column:
-    """All matches with their code point offsets: what lies between matches and the matches have lengths that add up."""
+    """All matches with their code point offsets: what lies between matches and the matches have lengths that add up.
+
+    ``left`` is the text before a match, its last ``NEAR`` characters, other matches included.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.filter(F.arrays_zip(gaps.alias("g"), matches.alias("m")), lambda p: p["m"].isNotNull())
-    item = lambda acc, p: F.struct(F.lit(kind).alias("kind"), (acc["at"] + F.length(p["g"])).alias("start"), (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("end"), p["m"].alias("match"), _left(p["g"]).alias("left"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"), F.concat(acc["out"], F.array(item(acc, p))).alias("out"))
+    before = lambda acc, p: F.right(F.concat(acc["tail"], p["g"]), F.lit(NEAR))
+    item = lambda acc, p: F.struct(F.lit(kind).alias("kind"), (acc["at"] + F.length(p["g"])).alias("start"), (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("end"), p["m"].alias("match"), before(acc, p).alias("left"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"), F.right(F.concat(acc["tail"], p["g"], p["m"]), F.lit(NEAR)).alias("tail"), F.concat(acc["out"], F.array(item(acc, p))).alias("out"))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
@@ -81,7 +88,8 @@ def base_spans(text: Column) -> dict[str, Column]:
         "phone": lambda s: n(s).between(8, 15),
     }
     none = F.array().cast(_SPAN)
-    return {k: F.when(some[k], F.filter(found(text, PATTERNS[k], i), valid[k])).otherwise(none) for i, k in enumerate(KINDS)}
+    context = lambda s: s.withField("left", _left(s["left"]))
+    return {k: F.when(some[k], F.transform(F.filter(found(text, PATTERNS[k], i), valid[k]), context)).otherwise(none) for i, k in enumerate(KINDS)}
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def extract(docs: DataFrame) -> DataFrame:
         glued = F.regexp_extract(s["match"], r"^[^0-9@]*[=:\"'(\[<]", 0)
         body = F.regexp_replace(F.substring(s["match"], F.length(glued) + 1, F.length(s["match"])), r"[^\p{Alnum}]+$", "")
         start = s["start"] + F.length(glued)
-        return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(body)).alias("end"), body.alias("match"), F.concat(s["left"], F.lower(glued)).alias("left"))
+        return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(body)).alias("end"), body.alias("match"), _left(F.concat(s["left"], glued)).alias("left"))
 
     apart = lambda s: (F.length(s["match"]) > 0) & (s["left"] != "") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     return spans.withColumn("tokens", F.filter(F.transform(raw, value), apart)).drop("text", "base")

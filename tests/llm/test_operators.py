@@ -130,6 +130,16 @@ def test_contextual_patterns_find_unseen_identifiers(spark):
     assert all(got[d][0] == 1 for d, _ in seen)
 
 
+def test_contexts_hold_numbers_and_other_identifiers(spark):
+    """A number among the two words before an identifier, one straight before it, and a name glued to it."""
+    for how in ("user {} email {} now", "filler by code {} {} now", "item {} mail={} now"):
+        seen = [(i, how.format(i + 10, f"user{i}@host{i}.example.com")) for i in range(12)]
+        unseen = [(100 + i, how.format(i + 50, f"odd{i}@localhost")) for i in range(3)]
+        got = {r.doc_id: r.spans for r in pii.digest(edge(spark, seen + unseen)).collect()}
+        for d, text in unseen:
+            assert got[d] == f"email:{text.index('odd')}:{text.index(' now')}"
+
+
 def test_redact(spark):
     rows = [(1, "mail a@b.co now"), (2, "nothing"), (3, None), (4, "é 10.0.0.1 and +1 (555) 010-2000.")]
     got = {r.doc_id: r.text for r in pii.redact(edge(spark, rows)).collect()}
