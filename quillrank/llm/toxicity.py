@@ -28,11 +28,22 @@ from .samples import labelled
 WIDTH, STRIDE = 32, 16
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 14, 6, 14, 8, 8
 CACHE = 150_000
+#: Longer runs of letters are cut into pieces of this length that share ``SHARED`` letters, so that no 5-gram is lost.
+LONGEST, SHARED = 64, 4
 _TOKEN = re.compile(r"\w+")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    """The words of a text; a run beyond ``LONGEST`` letters is cut at underscores, and what is still longer into pieces."""
+    words = _TOKEN.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [piece for w in words for piece in ([w] if len(w) <= LONGEST else _pieces(w))]
+
+
+def _pieces(run: str) -> list[str]:
+    parts = [x for x in run.split("_") if x] or [run]
+    return [x[k : k + LONGEST] for x in parts for k in range(0, max(1, len(x) - SHARED), LONGEST - SHARED)]
 
 
 def word_bucket(word: str) -> int:
@@ -40,12 +51,9 @@ def word_bucket(word: str) -> int:
 
 
 def char_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 3- to 5-grams of each word between marks, word after word, and how many each has (at least one).
-
-    Of a word beyond 64 letters, the grams of its first and last 32.
-    """
-    marked = "".join([f"<{w}>" if len(w) <= 64 else f"<{w[:32]}|{w[-32:]}>" for w in words])
-    size = np.fromiter((len(w) + 2 if len(w) <= 64 else 67 for w in words), np.int64, len(words))
+    """Buckets of the 3- to 5-grams of each word between marks, word after word, and how many each has (at least one)."""
+    marked = "".join([f"<{w}>" for w in words])
+    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     end = np.repeat(np.cumsum(size), size)
     word = np.repeat(np.arange(len(words)), size)

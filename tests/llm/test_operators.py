@@ -158,6 +158,20 @@ def test_prefix_counts_are_exact():
             assert mine.longest_prefix(text, budget) == max(k for k in range(len(text) + 1) if counts[k] <= budget)
 
 
+def test_long_runs_of_letters_are_read_whole():
+    run = "".join(chr(0x4E00 + k) for k in range(1000))
+    words = toxicity.tokens(f"a {run} b {'_'.join(['poison', 'apple'] * 20)} c_d")
+    assert max(map(len, words)) <= 64 and words[-1] == "c_d" and words.count("poison") == 20
+    assert {run[k : k + 5] for k in range(996)} <= {w[k : k + 5] for w in words for k in range(len(w) - 4)}
+    scorer = toxicity.Scorer(toxicity.initial())
+    a, b = scorer.windows([run * 3, run + run[:500] + "xyzzy" + run[500:] + run])
+    assert len(a) == len(b) == len(toxicity.window_starts(len(toxicity.tokens(run * 3)))) > 1 and (a != b).any()
+    changed = run[:500] + "x" * 8 + run[508:]
+    a, b = scorer.windows([run, changed])
+    assert (a != b).any()
+    assert (toxicity.char_buckets([run])[1] == 3 * 1000 - 3).all()
+
+
 def test_order_minhash_follows_order_and_edits():
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
