@@ -119,9 +119,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: rows of ``docs`` once for each time they are taken."""
-    names = docs.columns
-    return mix(docs, **how).withColumn("_mix_shard", F.explode("_mix_shards")).select(*names)
+    """The mix itself: rows of ``docs`` once for each time they are taken, in the order of ``shard_rows``."""
+    return shard_rows(docs, **how).drop("mix_shard")
 
 
 def shard_rows(docs: DataFrame, seed: int = 11, **how) -> DataFrame:
