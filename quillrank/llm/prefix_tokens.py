@@ -25,6 +25,8 @@ from .common import slices
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A segment: spaces, then what is not space. Text at the end may be spaces alone.
 SEGMENT = regex.compile(r"\s*\S+|\s+")
+#: Contractions that are no piece without their last letter.
+SPLIT_EARLY = ("'re", "'ve", "'ll")
 CACHE = 400_000
 
 
@@ -138,6 +140,15 @@ class PrefixCounter:
             count[end], last[end], at = count[start] + 1, token, end
         return count
 
+    def inside(self, piece: str) -> list[int]:
+        """Token counts of the first 1, 2, ... code points of one piece."""
+        raw = piece.encode()
+        counts = self.piece_counts(raw.decode("latin-1"))
+        if len(raw) == len(piece):
+            return counts[1:]
+        ends = [k for k in range(1, len(raw)) if raw[k] & 192 != 128] + [len(raw)]
+        return [counts[k] for k in ends]
+
     def segment_total(self, segment: str) -> int:
         """Tokens of a whole segment: the last entry of its tables, piece by piece."""
         got = self.totals.get(segment)
@@ -152,28 +163,24 @@ class PrefixCounter:
     def segment_table(self, segment: str) -> tuple[int, ...]:
         """Counts of the first 0, 1, ... code points of a segment.
 
-        A cut can end a run of spaces or a contraction early, which moves piece borders: where the pieces of a prefix
-        are not the pieces of the segment cut short, the prefix's own last pieces are counted.
+        A prefix of a piece is one piece and has the piece's own counts, with two exceptions: a run of spaces before a
+        word is two pieces, but one while the prefix ends inside it, and a contraction of three characters that lacks
+        its last one is a mark and a letter.
         """
         got = self.tables.get(segment)
         if got is not None:
             return got
-        pieces = [m.span() for m in PIECE.finditer(segment)]
         out, done = [0], 0
-        for lo, hi in pieces:
-            piece = segment[lo:hi]
-            counts = self.piece_counts(piece.encode().decode("latin-1"))
-            at = 0
-            for k in range(lo, hi):
-                at += len(segment[k].encode())
-                part = segment[lo : k + 1]
-                own = PIECE.findall(part)
-                out.append(done + (counts[at] if len(own) == 1 else sum(self.piece_counts(p.encode().decode("latin-1"))[-1] for p in own)))
-            done += counts[-1]
-        # a run of spaces before a word is two pieces in the segment, but one while the prefix ends inside it
+        for m in PIECE.finditer(segment):
+            piece = m.group()
+            inside = self.inside(piece)
+            if piece in SPLIT_EARLY:
+                inside[1] = sum(self.inside(c)[-1] for c in piece[:2])
+            out += [done + k for k in inside]
+            done += inside[-1]
         spaces = len(segment) - len(segment.lstrip())
-        for k in range(1, spaces + 1):
-            out[k] = self.piece_counts(segment[:k].encode().decode("latin-1"))[-1]
+        if spaces:
+            out[1 : spaces + 1] = self.inside(segment[:spaces])
         if len(segment) <= 64:
             if len(self.tables) >= CACHE // 4:
                 self.tables.clear()
