@@ -9,6 +9,7 @@ of the doubts of its patterns. Patterns with enough distinct seeds and confidenc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,10 @@ SHAPES = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^(?=.*[0-9])[0-9a-fA-F]*(?:[.:]
 #: So many characters left of a span its context is read from.
 NEAR = 80
 
-_SPAN = "array<struct<kind:int,start:int,end:int,match:string,left:string>>"
+_ONE = "struct<kind:int,start:int,end:int,match:string,left:string>"
+_SPAN = f"array<{_ONE}>"
+#: Items of a part of a scan, and code points of a part of a text that is cut.
+PART, CUT = 32, 256
 
 
 def digits(text: Column) -> Column:
@@ -57,6 +61,33 @@ def _left(before: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(tail, "[0-9]", "9"), r"\s+", " ")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever and however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit(state, item)`` of each item, where ``step(state, item)`` is the state that the next item meets; ``kind`` is the type emitted.
+
+    An array that grows by one is copied each time, so states and results are handed on through parts of ``PART`` items
+    and parts of parts: the work is in proportion to the items up to many millions.
+    """
+
+    def parts(of: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(of) - 1) / PART).cast("int")), lambda k: F.slice(of, k * PART + 1, F.lit(PART)))
+
+    def fold(of: Column, state: Column, each: Callable[[Column, Column], Column], out: str) -> Column:
+        """State and results after ``of``; ``each(state, x)`` gives the state (s) and one result (o)."""
+        first = F.struct(state.alias("s"), F.array().cast(f"array<{out}>").alias("o"))
+        return F.aggregate(of, first, lambda acc, x: let(each(acc["s"], x), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o"))))
+
+    one = lambda state, x: F.struct(step(state, x).alias("s"), emit(state, x).alias("o"))
+    low = lambda state, part: fold(part, state, one, kind)
+    high = lambda state, part: fold(part, state, low, f"array<{kind}>")
+    whole = lambda some: fold(parts(parts(some)), zero, high, f"array<array<{kind}>>")["o"]
+    return let(items, lambda some: F.when(F.size(some) > 0, F.flatten(F.flatten(whole(some)))).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
     """All matches with their code point offsets: what lies between matches and the matches have lengths that add up.
 
@@ -65,11 +96,30 @@ def found(text: Column, pattern: str, kind: int) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.filter(F.arrays_zip(gaps.alias("g"), matches.alias("m")), lambda p: p["m"].isNotNull())
-    before = lambda acc, p: F.right(F.concat(acc["tail"], p["g"]), F.lit(NEAR))
-    item = lambda acc, p: F.struct(F.lit(kind).alias("kind"), (acc["at"] + F.length(p["g"])).alias("start"), (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("end"), p["m"].alias("match"), before(acc, p).alias("left"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"), F.right(F.concat(acc["tail"], p["g"], p["m"]), F.lit(NEAR)).alias("tail"), F.concat(acc["out"], F.array(item(acc, p))).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    begin = lambda acc, p: acc["at"] + F.length(p["g"])
+    tail = lambda *x: F.right(F.concat(*x), F.lit(NEAR))
+    step = lambda acc, p: F.struct((begin(acc, p) + F.length(p["m"])).alias("at"), tail(acc["tail"], p["g"], p["m"]).alias("tail"))
+    item = lambda acc, p: F.struct(F.lit(kind).alias("kind"), begin(acc, p).alias("start"), (begin(acc, p) + F.length(p["m"])).alias("end"), p["m"].alias("match"), tail(acc["tail"], p["g"]).alias("left"))
+    return scan(pairs, start, step, item, _ONE)
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``base``, by binary search among the sorted starts and the largest ends so far."""
+    by_start = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    largest = lambda acc, b: F.greatest(acc, b["end"])
+
+    def free(starts: Column, ends: Column) -> Column:
+        powers = F.filter(F.lit([1 << k for k in range(30, -1, -1)]), lambda p: p <= F.size(starts))
+
+        def clear(s: Column) -> Column:
+            before = F.aggregate(powers, F.lit(0), lambda lo, p: lo + F.when(F.get(starts, lo + p - 1) < s["end"], p).otherwise(F.lit(0)))
+            return F.coalesce(F.get(ends, before - 1) <= s["start"], F.lit(True))
+
+        return F.filter(spans, clear)
+
+    # the powers are short, and computed for each span; the sorted arrays are not
+    return let(by_start, lambda some: let(scan(some, F.lit(0), largest, largest, "int"), lambda ends: let(F.transform(some, lambda b: b["start"]), lambda starts: free(starts, ends))))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -107,8 +157,8 @@ def extract(docs: DataFrame) -> DataFrame:
         start = s["start"] + F.length(glued)
         return F.struct(s["kind"].alias("kind"), start.alias("start"), (start + F.length(body)).alias("end"), body.alias("match"), _left(F.concat(s["left"], glued)).alias("left"))
 
-    apart = lambda s: (F.length(s["match"]) > 0) & (s["left"] != "") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    return spans.withColumn("tokens", F.filter(F.transform(raw, value), apart)).drop("text", "base")
+    some = F.filter(F.transform(raw, value), lambda s: (F.length(s["match"]) > 0) & (s["left"] != ""))
+    return spans.withColumn("tokens", outside(some, F.col("base"))).drop("text", "base")
 
 
 def discover(extracted: DataFrame, seeds: int = 5, confidence: float = 0.6, rounds: int = 3) -> DataFrame | None:
@@ -175,21 +225,31 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     spans = annotate(docs, **how).where(F.size("all") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_th"), F.col("all").alias("_pii_all")).dropDuplicates(["_pii_id", "_pii_th"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(text) == F.col("_pii_th"))
+    kind = "struct<start:int,end:int,kind:int>"
     by_start = F.array_sort(F.transform("_pii_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    apart = F.aggregate(by_start, F.array().cast("array<struct<start:int,end:int,kind:int>>"), merge)
-    rows = docs.join(spans, same, "left").withColumn("_pii_cut", F.when(F.col("_pii_all").isNotNull(), apart))
+    none = F.lit(-1)
+    longer = lambda acc, s: F.struct(acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"), acc["kind"].alias("kind"))
+    joined = lambda acc, s: F.when(acc["end"] > s["start"], longer(acc, s)).otherwise(s)
+    grown = scan(by_start, F.struct(none.alias("start"), none.alias("end"), none.alias("kind")), joined, joined, kind)
+    apart = let(grown, lambda g: F.filter(g, lambda s, i: F.coalesce(F.get(g, i + 1)["start"] != s["start"], F.lit(True))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    ends = F.concat(F.array(F.lit(0)), F.transform("_pii_cut", lambda s: s["end"]))
-    piece = lambda s, i: F.concat(F.substring(F.col("text"), F.element_at(F.col("_pii_ends"), i + 1) + 1, s["start"] - F.element_at(F.col("_pii_ends"), i + 1)), F.element_at(names, s["kind"] + 1))
-    rows = rows.withColumn("_pii_ends", ends)
-    rest = F.substring(F.col("text"), F.element_at(F.col("_pii_ends"), -1) + 1, F.length("text"))
-    rows = rows.withColumn("text", F.when(F.col("_pii_cut").isNotNull(), F.concat(F.array_join(F.transform("_pii_cut", piece), ""), rest)).otherwise(F.col("text")))
+
+    def between(parts: Column, start: Column, end: Column) -> Column:
+        """The text from ``start`` to ``end`` of a text in parts of ``CUT`` code points."""
+        lo, hi = F.floor(start / CUT).cast("int"), F.floor(end / CUT).cast("int")
+        piece = lambda k, at, n: F.coalesce(F.substring(F.get(parts, k), at, n), F.lit(""))
+        across = F.concat(piece(lo, start % CUT + 1, F.lit(CUT)), F.array_join(F.slice(parts, lo + 2, hi - lo - 1), ""), piece(hi, F.lit(1), end % CUT))
+        return F.when(lo == hi, piece(lo, start % CUT + 1, end - start)).otherwise(across)
+
+    def rebuilt(parts: Column, cuts: Column, n: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))
+        kept = F.transform(cuts, lambda s, i: F.concat(between(parts, before(i), s["start"]), F.element_at(names, s["kind"] + 1)))
+        return F.concat(F.array_join(kept, ""), between(parts, before(F.size(cuts)), n))
+
+    in_parts = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    new = let(in_parts, lambda parts: let(apart, lambda cuts: let(F.length("text"), lambda n: rebuilt(parts, cuts, n))))
+    rows = docs.join(spans, same, "left")
+    rows = rows.withColumn("text", F.when(F.col("_pii_all").isNotNull(), new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_pii_cut").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_pii_all").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
