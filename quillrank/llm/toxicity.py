@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, slices
+from .common import discard, is_held_out, materialise, slices
 from .samples import labelled
 
 WIDTH, STRIDE = 32, 16
@@ -200,30 +200,55 @@ def initial(seed: int = 1) -> ToxicModel:
     return ToxicModel(p, (0.1 * rng.standard_normal((BUCKETS, WORD_DIM))).astype(np.float32), (0.1 * rng.standard_normal((BUCKETS, CHAR_DIM))).astype(np.float32), np.array([1.0, 0, 0, 0]), 0.0)
 
 
-def _first_evidence(docs: list[list[str]], y: np.ndarray) -> dict[str, float]:
-    """Shrunken log odds of the words' character grams and words, from which windows are chosen at first."""
+def window_texts(text: str | None, most: int, seed: int = 1) -> list[str]:
+    """The windows of a text, words joined by spaces; of more than ``most``, so many drawn at random from the whole text."""
+    words = tokens(text)
+    starts = window_starts(len(words))
+    if len(starts) > most:
+        drawn = np.random.default_rng([seed, zlib.crc32((text or "").encode()), len(starts)]).choice(len(starts), most, replace=False)
+        starts = [starts[k] for k in np.sort(drawn)]
+    return [" ".join(words[s : s + WIDTH]) for s in starts]
+
+
+def _first_evidence(docs: list[set[str]], y: np.ndarray) -> dict[str, float]:
+    """Shrunken log odds of the words, from which windows are chosen at first."""
     with_, without = Counter(), Counter()
     for d, label in zip(docs, y, strict=True):
-        (with_ if label else without).update(set(d))
+        (with_ if label else without).update(d)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     return {w: log((k + 0.2) / n1 / ((without[w] + 0.2) / n0)) if k + without[w] > 2 else 0.0 for w, k in with_.items()}
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 250, batch: int = 48, seed: int = 1) -> ToxicModel:
-    """Train on texts in the given order; the same texts and seed give the same model.
+    """Train on the windows of whole texts in the given order; the same texts and seed give the same model.
 
     With one class only (or no rows) the network stays as it began and every document gets a score of 0.1 or 0.9.
     """
+    features = lambda m: np.array([_doc_features(s) for s in Scorer(m).windows(texts)])
+    return fit_windows([window_texts(t, 1 << 62) for t in texts], labels, features, steps, batch, seed)
+
+
+#: Windows of a document that one step looks at; each step draws them anew.
+LOOK = 24
+
+
+def fit_windows(windows: list[list[str]], labels: list[int], features: Callable[[ToxicModel], np.ndarray], steps: int = 250, batch: int = 48, seed: int = 1) -> ToxicModel:
+    """Train the network on windows of documents, and the document unit on ``features(model)``, a row for each document."""
     model, rng = initial(seed), np.random.default_rng(seed)
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         model.doc_w, model.doc_b = np.zeros(4), log(9) if len(y) and y[0] == 1 else -log(9)
         return model
-    docs = [tokens(t) for t in texts]
-    evidence = _first_evidence(docs, y)
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in d], np.int64) for d in docs]
+    ids = []
+    for doc in windows:
+        rows = np.zeros((len(doc), WIDTH), np.int32)
+        for row, text in zip(rows, doc, strict=True):
+            found = text.split(" ")
+            row[: len(found)] = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in found]
+        ids.append(rows)
     names = list(vocabulary)
+    evidence = _first_evidence([{names[k - 1] for k in np.unique(d) if k} for d in ids], y)
     wid = np.array([0] + [word_bucket(w) for w in names])
     grams, n_grams = char_buckets(names)
     n_grams = np.concatenate([[0], n_grams])
@@ -237,13 +262,14 @@ def fit(texts: list[str], labels: list[int], steps: int = 250, batch: int = 48,
     ada_w, ada_c = np.full(BUCKETS, 1e-4, np.float32), np.full(BUCKETS, 1e-4, np.float32)
     p = model.p
 
-    def cut(i: int) -> np.ndarray:
+    def look(i: int) -> np.ndarray:
+        """Windows of a document for one step, drawn from all it has; of a toxic one half by the words' evidence."""
         d = ids[i]
-        out = np.zeros((len(window_starts(len(d))), WIDTH), np.int64)
-        for k, s in enumerate(window_starts(len(d))):
-            part = d[s : s + WIDTH]
-            out[k, : len(part)] = part
-        return out
+        if len(d) <= LOOK:
+            return d
+        likely = np.argsort(-gain[d].sum(axis=1), kind="stable")[: LOOK // 2 if y[i] else 0]
+        rest = np.setdiff1d(np.arange(len(d)), likely)
+        return d[np.sort(np.concatenate([likely, rng.choice(rest, LOOK - len(likely), replace=False)]))]
 
     def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gram buckets of words by number, word after word, and the starts of each word's."""
@@ -262,9 +288,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 250, batch: int = 48,
 
     for step in range(1, steps + 1):
         chosen = np.concatenate([rng.choice(pool, batch // 2) for pool in pools])
-        label, cuts = y[chosen], [cut(i) for i in chosen]
-        # at most 24 windows of a document in a step, drawn anew each time; a later step sees the others
-        cuts = [c if len(c) <= 24 else c[np.sort(rng.choice(len(c), 24, replace=False))] if not k else c[np.argsort(-gain[c].sum(axis=1), kind="stable")[:24]] for c, k in zip(cuts, label, strict=True)]
+        label, cuts = y[chosen], [look(i) for i in chosen]
         if step <= steps // 4:
             strength = [gain[c].sum(axis=1) for c in cuts]
         else:
@@ -304,8 +328,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 250, batch: int = 48,
             rows_, total = _sum_rows(index, grad)
             ada[rows_] += (total * total).mean(axis=1)
             table[rows_] -= 0.05 * total / np.sqrt(ada[rows_])[:, None]
-    fitted = Scorer(model)
-    f = np.array([_doc_features(s) for s in fitted.windows(texts)])
+    f = features(model)
     w, b = np.array([0.5, 0.2, 0.0, 0.2]), 0.0
     for k in range(600):  # the document unit, classes balanced
         d = (_sigmoid(f @ w + b) - y) * np.where(y == 1, 1 / y.sum(), 1 / (len(y) - y.sum())) / 2
@@ -387,15 +410,37 @@ class Scorer:
         return np.array([self.model.score(x) for x in self.windows(texts)])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int = 250) -> ToxicModel:
-    """Fit on at most ``per_class`` labelled documents of each class that are not held out, gathered on the driver.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_document: int = 256, steps: int = 250) -> ToxicModel:
+    """Fit on at most ``per_class`` labelled documents of each class that are not held out.
 
-    Of a sampled document beyond 200,000 characters, training sees the windows of its first and last 100,000.
+    The network's windows are gathered on the driver, at most ``per_document`` of a document, drawn from its whole text;
+    the document unit is fitted to the scores of all windows, which executors compute.
     """
-    text = F.when(F.length("text") <= 200_000, F.col("text")).otherwise(F.concat(F.substring("text", 1, 100_000), F.lit(" "), F.substring("text", -100_000, 100_000)))
-    got = labelled(docs, labels, "toxic", per_class).select("doc_id", text.alias("text"), "label").collect()
-    got.sort(key=lambda r: (r.doc_id, r.label, r.text))
-    return fit([r.text for r in got], [r.label for r in got], steps)
+    sample = materialise(labelled(docs, labels, "toxic", per_class).select("doc_id", "text", "label"), "labelled")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            crc = pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), crc, b.column(2), pa.array([window_texts(t, per_document) for t in texts], pa.list_(pa.string()))], names=["doc_id", "crc", "label", "windows"])
+
+    got = sample.mapInArrow(cut, "doc_id long, crc long, label int, windows array<string>").collect()
+    got.sort(key=lambda r: (r.doc_id, r.crc))
+
+    def features(model: ToxicModel) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(model)
+            for b in slices(batches):
+                texts = b.column(1).to_pylist()
+                crc = pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), crc, pa.array([_doc_features(x).tolist() for x in scorer.windows(texts)], pa.list_(pa.float64()))], names=["doc_id", "crc", "f"])
+
+        rows = sample.mapInArrow(run, "doc_id long, crc long, f array<double>").collect()
+        return np.array([r.f for r in sorted(rows, key=lambda r: (r.doc_id, r.crc))])
+
+    model = fit_windows([r.windows for r in got], [r.label for r in got], features, steps)
+    discard(sample)
+    return model
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
