@@ -16,9 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, word_count
 
 BLOCKS = 4096
+#: Up to so many blocks of all sources, their placement is broadcast; beyond, it is joined by a shuffle.
+BROADCAST = 200_000
+#: A stretch of an output shard's order has about so many rows.
+STRETCH = 4096
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -74,9 +78,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     source = F.col("source").cast("string")
     key = F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
     row_hash = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    block = F.pmod(F.xxhash64(F.lit(seed + 1), row_hash), F.lit(blocks)).cast("int")
     words = size if size is not None else word_count(F.col("text").cast("string"))
-    base = docs.withColumns({"_mix_key": key, "_mix_size": words, "_mix_hash": row_hash}).withColumn("_mix_block", block)
+    keyed = docs.withColumns({"_mix_key": key, "_mix_hash": row_hash}).withColumn("_mix_block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_mix_hash")), F.lit(blocks)).cast("int"))
+    base = keyed.withColumn("_mix_size", words)
     table = base.groupBy("_mix_key", "_mix_block").agg(F.sum("_mix_size").alias("n")).persist()
     totals = {r["_mix_key"]: (int(r.n or 0), int(r.b)) for r in table.groupBy("_mix_key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("b")).collect()}
     names = {k: (k[1:] if k[0] == "=" else None) for k in totals}
@@ -103,19 +107,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     ends = np.cumsum(split_tree(quotas, shards, seed), axis=0) if keys else np.zeros((shards, 0), np.int64)
     stretches = spark.createDataFrame([(k, totals[k][1], [int(x) for x in ends[:, i]]) for i, k in enumerate(keys)], "_mix_key string, n_blocks long, ends array<long>")
     shard_of = lambda p: F.size(F.filter("ends", lambda e: e <= p.cast("long") * F.col("n_blocks") + F.col("place"))).cast("int")
+    reaches = (F.col("drawn") == 1) & (F.col("before") + F.col("n") >= F.col("residue"))
     placed = ranked.join(F.broadcast(stretches), "_mix_key").select(
         "_mix_key", "_mix_block", "_mix_source_size", "_mix_target",
         F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(0), F.col("passes") - 1)).otherwise(F.expr("cast(array() as array<int>)")), shard_of).alias("_mix_whole"),
         F.when(F.col("drawn") == 1, shard_of(F.col("passes"))).alias("_mix_last"),
-        (F.col("residue") - F.col("before")).alias("_mix_left"),
+        F.when(reaches, F.col("residue") - F.col("before")).alias("_mix_left"),
     )
-    inside = Window.partitionBy("_mix_key", "_mix_block").orderBy("_mix_hash", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = F.sum("_mix_size").over(inside)
-    # of the block that reaches the target, rows whose middle is still below it
-    last = F.col("_mix_last").isNotNull() & (run - F.col("_mix_size") / 2 < F.col("_mix_left"))
+    # of the one block of a source that reaches the target, rows whose middle is still below it; only there is an order
+    # of rows needed, and only hashes and sizes are sent to find the last hash taken
+    edge = keyed.join(F.broadcast(placed.where("_mix_left is not null").select("_mix_key", "_mix_block", "_mix_left")), ["_mix_key", "_mix_block"])
+    equal = edge.withColumn("_mix_size", words).groupBy("_mix_key", "_mix_left", "_mix_hash").agg(F.sum("_mix_size").alias("n"))
+    run = F.sum("n").over(Window.partitionBy("_mix_key").orderBy("_mix_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bars = equal.withColumn("run", run).where(F.col("run") - F.col("n") / 2 < F.col("_mix_left")).groupBy("_mix_key").agg(F.max("_mix_hash").alias("_mix_bar"))
+    edges = materialise(placed.join(F.broadcast(bars), "_mix_key", "left"), "mix")  # bars: a row for each source
+    table.unpersist()
+    ranked.unpersist()
+    joined = base.join(F.broadcast(edges) if sum(b for _, b in totals.values()) <= BROADCAST else edges, ["_mix_key", "_mix_block"])
+    last = F.col("_mix_last").isNotNull() & (F.col("_mix_left").isNull() | F.coalesce(F.col("_mix_hash") <= F.col("_mix_bar"), F.lit(False)))
     taken = F.when(last, F.concat("_mix_whole", F.array("_mix_last"))).otherwise(F.col("_mix_whole"))
-    joined = base.join(placed, ["_mix_key", "_mix_block"])
-    return joined.withColumn("_mix_shards", taken).drop("_mix_key", "_mix_block", "_mix_whole", "_mix_last", "_mix_left", "_mix_hash")
+    return joined.withColumn("_mix_shards", taken).drop("_mix_key", "_mix_block", "_mix_whole", "_mix_last", "_mix_left", "_mix_hash", "_mix_bar")
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
@@ -123,13 +134,18 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     return shard_rows(docs, **how).drop("mix_shard")
 
 
-def shard_rows(docs: DataFrame, seed: int = 11, **how) -> DataFrame:
-    """The mix as output shards: columns of ``docs`` and ``mix_shard``; one partition range for each shard, shuffled inside it."""
+def shard_rows(docs: DataFrame, seed: int = 11, shards: int = 16, **how) -> DataFrame:
+    """The mix as output shards: columns of ``docs`` and ``mix_shard``, shuffled inside each shard.
+
+    A shard is a sequence of stretches, each of them whole and in order in one partition.
+    """
     names = docs.columns
-    out = mix(docs, seed=seed, **how).select(*names, F.posexplode("_mix_shards").alias("_mix_draw", "mix_shard"))
+    bits = max(4, (docs.count() // (shards * STRETCH)).bit_length())
+    out = mix(docs, seed=seed, shards=shards, **how).select(*names, F.posexplode("_mix_shards").alias("_mix_draw", "mix_shard"))
     shuffled = F.xxhash64(F.lit(seed + 3), F.col("doc_id"), F.col("text"), F.col("_mix_draw"))
     out = out.withColumn("_mix_order", shuffled)
-    return out.repartitionByRange("mix_shard", "_mix_order").sortWithinPartitions("mix_shard", "_mix_order").drop("_mix_draw", "_mix_order")
+    stretch = F.shiftright(F.col("_mix_order"), 64 - bits)  # a shard's order is cut into stretches, each sorted by itself
+    return out.repartition("mix_shard", stretch).sortWithinPartitions("mix_shard", "_mix_order").drop("_mix_draw", "_mix_order")
 
 
 def digest(docs: DataFrame, **how) -> DataFrame:
