@@ -37,12 +37,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, used: list[DataFrame]) -> DataFrame:
+    """One step; what it has written goes to ``used``."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # written: a join of two scans is one that adaptive execution can split
     low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    used.append(low)
     out = both.join(low, "u")
     if large:
         out = out.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -65,9 +67,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("a != b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     sign = _sign(now)
     while sign[0]:
-        after = materialise(_star(_star(now, True), False), "stars")
-        discard(now)
+        used = [now]
+        after = materialise(_star(_star(now, True, used), False, used), "stars")
+        for done in used:
+            discard(done)
         was, now, sign = sign, after, _sign(after)
         if was == sign:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._quill_path = now._quill_path  # for discard()
+    return out

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import blocks, by_block, pairs_in_runs
-from .common import materialise, slices
+from .common import discard, materialise, slices
 from .components import components, forest
 
 SEED = 42
@@ -158,7 +158,7 @@ def links(nodes: DataFrame, coarse: list[str], wide: list[str] = (), bits: int =
 #: Of the MINIMA least shingle hashes of a text, BANDS groups of ROWS are cells in which texts meet. A likeness of four
 #: fifths misses all of them once in 3e5 pairs, one of 0.85 once in 9e7.
 BANDS, ROWS, MINIMA = 24, 4, 128
-KEYS, SIGNATURE = tuple(f"k{i}" for i in range(BANDS)), tuple(f"s{i}" for i in range(MINIMA // 8))
+KEYS, SIGNATURE = tuple(f"k{i}" for i in range(BANDS)), tuple(f"s{i}" for i in range(MINIMA // 32))
 _RANKINGS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -178,7 +178,7 @@ def shingles(text: str | bytes | None, words: int = 5) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of ``KEYS`` and the 64-bit values of ``SIGNATURE``, a byte of each minimum, for a text's shingle hashes."""
+    """The cells of ``KEYS`` and the 64-bit values of ``SIGNATURE``, two bits of each minimum, for a text's shingle hashes."""
     least = np.full(MINIMA, ~np.uint64(0))
     for at in range(0, len(hashes), 256):
         x = hashes[None, at : at + 256] * _RANKINGS[:, None]
@@ -189,7 +189,8 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for row in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return keys, ((least >> np.uint64(8)) & np.uint64(255)).astype(np.uint8).view(np.uint64)
+    pairs = ((least >> np.uint64(8)) & np.uint64(3)).reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    return keys, np.bitwise_or.reduce(pairs, axis=1)
 
 
 def alike(x: np.ndarray, y: np.ndarray, likeness: float) -> bool:
@@ -218,10 +219,11 @@ def _stars(c: dict, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.
 def candidates(nodes: DataFrame, likeness: float, chunk: int = 2048) -> DataFrame:
     """Edges that span the components of texts that share a cell and may be ``likeness`` alike, by size and signature.
 
-    ``nodes`` has longs node, size (number of shingles), ``KEYS`` and ``SIGNATURE``. The signature must show no less
-    than five deviations under the likeness.
+    ``nodes`` has longs node, size (number of shingles), ``KEYS`` and ``SIGNATURE``. The signature may be at most
+    five deviations below what that likeness gives.
     """
-    least = MINIMA * likeness - 5 * (MINIMA * likeness * (1 - likeness)) ** 0.5
+    same = likeness + (1 - likeness) / 4  # two bits of different minima agree once in four
+    most = MINIMA * (1 - same) + 5 * (MINIMA * same * (1 - same)) ** 0.5
     names = ["cell", "node", "size", *SIGNATURE]
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +233,13 @@ def candidates(nodes: DataFrame, likeness: float, chunk: int = 2048) -> DataFram
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each(c: dict) -> pa.RecordBatch | None:
-            size, mark = c["size"], np.stack([c[x] for x in SIGNATURE], axis=1).view(np.uint8)
+            size, mark = c["size"], np.stack([c[x] for x in SIGNATURE], axis=1).view(np.uint64)
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 hit = np.minimum(size[i], size[j]) >= likeness * np.maximum(size[i], size[j]) - 1e-9
                 at = np.flatnonzero(hit)
-                hit[at] = np.count_nonzero(mark[i[at]] == mark[j[at]], axis=1) >= least
+                differ = mark[i[at]] ^ mark[j[at]]
+                hit[at] = np.bitwise_count((differ | (differ >> np.uint64(1))) & _TWO).sum(axis=1) <= most
                 return hit
 
             return _stars(c, near)
@@ -278,16 +281,9 @@ def verified(texts: DataFrame, words: int, likeness: float, chunk: int = 1024) -
 
     rows = materialise(texts.select("node", "cell", "text").mapInArrow(cut, "node long, cell long, sets array<long>"), "shingles")
     dealt = blocks(rows, "cell", "node", chunk).select("block", "ci", "cj", "node", "sets")
-    return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
-
-
-def _with_root(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th, fp and ``root``, the least fingerprint of the row's component."""
-    marked = materialise(with_fingerprint(docs, words, id_col, text_col), "simhash")
-    nodes = materialise(marked.select("fp").distinct(), "fingerprints")
-    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), ["fp"], bits=bits))
-    # two written tables: a fingerprint that many rows share makes a join that adaptive execution can split
-    return marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    out = dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
+    out._quill_path = rows._quill_path  # for discard()
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +294,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     their component is the smallest id that is not null, or null where there is none. An empty table gives no rows;
     columns other than the two named are ignored.
     """
-    rows = materialise(_with_root(docs, words, bits, id_col, text_col).select("doc_id", "fp", "root"), "rooted")
+    marked = materialise(with_fingerprint(docs, words, id_col, text_col), "simhash")
+    nodes = materialise(marked.select("fp").distinct(), "fingerprints")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), ["fp"], bits=bits))
+    # two written tables: a fingerprint that many rows share makes a join that adaptive execution can split
+    rooted = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    rows = materialise(rooted, "rooted")
+    for done in (marked, nodes, roots):
+        discard(done)
     least = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -330,17 +333,20 @@ def deduplicate(docs: DataFrame, words: int = 5, likeness: float = 0.8) -> DataF
     """
     marked = materialise(with_sketch(docs, words), "sketches")
     nodes = materialise(marked.groupBy(F.col("th").alias("node"), "size", *KEYS, *SIGNATURE).agg(F.min("doc_id").alias("one")), "nodes")
-    groups = components(candidates(nodes, likeness))
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    near = components(candidates(nodes, likeness))
+    groups = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     asked = materialise(nodes.select("node", "one").join(groups, "node").withColumnRenamed("root", "cell"), "candidates")
     text = F.col("text").cast("string")
     mine = (text_hash(text) == F.col("node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("one"))
     texts = docs.select("doc_id", "text").join(asked, mine).select("node", "cell", text.alias("text"))
-    roots = components(verified(texts, words, likeness))
+    found = verified(texts, words, likeness)
+    roots = components(found)
     rows = marked.select("doc_id", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
     each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
     keep = materialise(first.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.th").alias("_keep_th"), F.col("k.n").alias("_keep_n")), "keepers")
+    for done in (marked, nodes, near, asked, found, roots):
+        discard(done)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (text_hash(F.col("text").cast("string")) == F.col("_keep_th"))
     out = docs.join(keep.where("_keep_n = 1"), same, "left_semi")
     repeated = keep.where("_keep_n > 1")
