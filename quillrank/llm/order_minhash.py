@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise, slices
 
 _M1, _M2, _GOLD, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
@@ -110,44 +110,53 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
 def fingerprints(docs: DataFrame, k: int = 8, sketches: int = 64, each: int = 2, rows_per_range: int = 128, most_ranges: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of ``docs``.
 
-    The next document is the one with the next smaller id (equal ids: by text; null ids last); after the last comes the
-    first, and a document alone is its own next one. Null texts are empty. Equal texts have equal fingerprints. An empty
-    table gives no rows; other columns are ignored. Texts are shuffled once, into ranges of ids; the first document of
-    each range is sent to the range before it as well, and ranges are read as streams, two texts at a time.
+    The next document is the one with the next smaller id (equal ids: by a hash of the text; null ids last); after the
+    last comes the first, and a document alone is its own next one. Null texts are empty. Equal texts have equal
+    fingerprints. An empty table gives no rows; other columns are ignored. Texts are shuffled once, into ranges of ids;
+    an id (or null) that many rows share has ranges of its own, by hash. The first document of each range is sent to the
+    range before it as well, and ranges are read as streams, two texts at a time.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = kept.where("doc_id is not null").select("doc_id")
     n = kept.count()
     ranges = max(1, min(most_ranges, n // rows_per_range))
     marks = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("p")).first().p if ranges > 1 else []
-    bounds = sorted(set(marks or []))
+    often = {x for x, y in zip(marks or [], (marks or [])[1:], strict=False) if x == y}  # more than a range's share of the rows
+    bounds = sorted({*(marks or []), *(x + 1 for x in often)})
     bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(_bucket(F.col("doc_id"), bounds))
-    heads = kept.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).collect()  # a row for each range
+    heads = kept.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).collect()  # a row for each bucket
     heads.sort(key=lambda r: -r.bucket)  # in text order: largest ids first, nulls last
-    before = {r.bucket: heads[i - 1].bucket for i, r in enumerate(heads)}  # the range whose last document precedes this one's first
-    head_of = {r.bucket: r.head for r in heads}
     size = len(bounds) + 2
-    head_list = F.lit([head_of.get(i - 1) if head_of.get(i - 1) is not None else -1 for i in range(size)])
-    before_list = F.lit([before.get(i - 1, -2) for i in range(size)])
-    own = F.struct(F.col("bucket"), F.lit(0).alias("role"))
-    lent = F.struct(F.element_at(before_list, F.col("bucket") + 2).alias("bucket"), F.lit(1).alias("role"))
-    is_head = F.coalesce(F.col("doc_id") == F.element_at(head_list, F.col("bucket") + 2), F.col("bucket") == -1)
-    spread = kept.withColumn("bucket", bucket).withColumn("to", F.explode(F.when(is_head, F.array(own, lent)).otherwise(F.array(own))))
-    dealt = spread.select(F.col("to.bucket").alias("bucket"), F.col("to.role").alias("role"), "doc_id", "text").repartition("bucket")
-    dealt = dealt.sortWithinPartitions("bucket", "role", F.col("doc_id").desc_nulls_last(), "text")
+    first_range, cuts, head_of, done = [0] * size, [1] * size, [None] * size, 0
+    for r in heads:
+        first_range[r.bucket + 1], head_of[r.bucket + 1] = done, r.head
+        if r.head == r.least:  # one id, or none
+            cuts[r.bucket + 1] = max(1, -(-r.n * ranges // n))
+        done += cuts[r.bucket + 1]
+    of = lambda table: F.element_at(F.lit(table), F.col("bucket") + 2)
+    high = (F.shiftright("hash", 40) + (1 << 23)) * of(cuts)  # 24 bits
+    keyed = kept.withColumn("hash", F.xxhash64("text")).withColumn("bucket", bucket)
+    keyed = keyed.withColumn("range", of(first_range) + F.shiftright(high, 24).cast("int"))
+    is_head = F.when(F.col("bucket") == -1, True).otherwise(F.col("doc_id") == of([-1 if x is None else x for x in head_of]))
+    firsts = keyed.where(is_head).groupBy("range").agg(F.first("doc_id").alias("doc_id"), F.min(F.struct("hash", "text")).alias("t"))
+    firsts = materialise(firsts, "firsts")  # a document for each range
+    there = sorted(r.range for r in firsts.select("range").collect())
+    before = [0] * max(1, done)
+    for i, r in enumerate(there):
+        before[r] = there[i - 1]
+    lent = firsts.select(F.element_at(F.lit(before), F.col("range") + 1).alias("range"), F.lit(1).alias("role"), "doc_id", F.col("t.text").alias("text"))
+    spread = keyed.select("range", F.lit(0).alias("role"), "doc_id", "text", "hash").unionByName(lent.withColumn("hash", F.lit(0).cast("long")))
+    dealt = spread.repartition("range").sortWithinPartitions("range", "role", F.col("doc_id").desc_nulls_last(), "hash", "text").drop("hash")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hexed = lambda s: s.astype(">u4").tobytes().hex()
-        last = None  # bucket, id, text, signature of a document that waits for the next one
-        done = None  # a bucket whose last document has its next one
+        last = None  # range, id, text, signature of a document that waits for the next one
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for b in slices(batches):
             rows = []
             for at, role, doc, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if at == done:
-                    continue  # more copies of the next range's first document
                 sig = signature(text, k, sketches, each)
                 if last is not None and last[0] == at:
                     _, doc0, text0, sig0 = last
@@ -155,10 +164,7 @@ def fingerprints(docs: DataFrame, k: int = 8, sketches: int = 64, each: int = 2,
                     sig1 = sig0 if edited == text0 else signature(edited, k, sketches, each)
                     digest = hashlib.sha256(edited.encode()).hexdigest()
                     rows.append((doc0, len(text0), digest, hexed(sig0), hexed(sig1), likeness(sig0, sig1), likeness(sig0, sig)))
-                if role:
-                    last, done = None, at
-                else:
-                    last = (at, doc, text, sig)
+                last = None if role else (at, doc, text, sig)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=names)
 
     return dealt.mapInArrow(run, schema)
