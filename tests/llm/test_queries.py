@@ -6,11 +6,13 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 import xxhash
 
 from quillrank.llm import queries as Q
+from quillrank.llm import vector_join
 
 from ..conftest import SF
 
@@ -131,6 +133,31 @@ def test_vectors(spark):
     assert got[want.columns].to_dict() == want.to_dict()
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_at_every_number_of_axes(spark, kind):
+    """Clusters of near copies, copies, repeated and null ids, and a hot label, against brute force; chunks of 16 rows."""
+    rng = np.random.default_rng(4)
+    seeds = rng.standard_normal((12, 16))
+    rows = []
+    for k in range(240):
+        v = seeds[k % 12] + rng.standard_normal(16) * (0.0 if k % 5 == 0 else 0.03 + 0.12 * (k % 3))
+        rows.append((None if k % 40 == 7 else k - k % 2 if k % 30 == 1 else k, v.astype(np.float32).tolist(), 1 if k % 3 else k % 4))
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    x = np.array([r[1] for r in rows], np.float64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    lab = np.array([r[2] for r in rows])
+    link = (unit @ unit.T >= 0.98) & (lab[:, None] == lab)
+    np.fill_diagonal(link, False)
+    least = np.array([10**9 if r[0] is None else r[0] for r in rows])
+    for _ in rows:
+        least = np.array([min(least[k], least[link[k]].min(initial=10**9)) for k in range(len(rows))])
+    want = sorted((-1 if r[0] is None else r[0], int(link[k].sum()), int(least[k])) for k, r in enumerate(rows))
+    assert sum(w[1] > 0 for w in want) > 100
+    for axes in (None, 0, 1, 2, 3):
+        got = vector_join.linked(frame, axes=axes, chunk=16).collect()
+        assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, 10**9 if r.component_id is None else r.component_id) for r in got) == want
+
+
 BASE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
