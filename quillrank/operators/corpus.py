@@ -88,8 +88,11 @@ def remove_group(corpus: DataFrame, group: str) -> DataFrame:
 
 
 def set_embeddings(corpus: DataFrame, found: DataFrame) -> DataFrame:
-    """Write embeddings (id, embedding, expected_text) where the live text is still the one that was embedded."""
-    new = found.select(F.col("id").alias("_id"), F.col("embedding").cast("array<float>").alias("_e"), F.col("expected_text").alias("_t"))
+    """Write embeddings (id, embedding, expected_text) where the live text is still the one that was embedded.
+
+    Of several for one id and text one is taken, the largest; null embeddings change nothing.
+    """
+    new = found.where("embedding is not null").groupBy(F.col("id").alias("_id"), F.col("expected_text").alias("_t")).agg(F.max(F.col("embedding").cast("array<float>")).alias("_e"))
     same = (F.col("id") == F.col("_id")) & (F.col("text") == F.col("_t"))
     joined = corpus.join(new, same, "left").withColumn("embedding", F.coalesce("_e", "embedding"))
     return joined.select(*corpus.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillrank.plans.diagnostics import EmbeddingUnavailable
 from quillrank.plans.searcher import EmbedderAdapter
-from quillrank.streaming.changelog import CHANGE_SCHEMA, StreamingCorpus, change_stream, replay, replay_serial
+from quillrank.streaming.changelog import CHANGE_SCHEMA, CorruptCorpus, StreamingCorpus, change_stream, replay, replay_serial
 
 FIELDS = CHANGE_SCHEMA.names
 
@@ -91,3 +91,61 @@ def test_failing_embedder_leaves_nulls(spark, tmp_path):
     corpus.apply(log_df(spark, [{"seq": 1, "op": "add", "id": "a", "text": "red fox"}]))
     assert corpus.snapshot().where(F.col("embedding").isNull()).count() == 1
     assert [r.id for r in corpus.search("fox").collect()] == ["a"] and seen == [EmbeddingUnavailable()]
+
+
+def test_batches_write_what_they_change(spark, tmp_path):
+    """Random logs in batches against the simulation, over compactions; old versions stay readable until they are vacuumed."""
+    path = str(tmp_path / "c")
+    rows = random_log(5, False)
+    corpus = StreamingCorpus(spark, path, most_segments=3)
+    for batch in range(5):
+        assert corpus.apply(log_df(spark, [r for r in rows if r["seq"] // 24 == batch]), batch)
+        live = simulate([r for r in rows if r["seq"] < 24 * (batch + 1)])
+        assert sorted((r.id, r.pos) for r in corpus.snapshot().collect()) == live
+        if batch == 1:
+            early, seen = corpus.version(), live
+    assert not corpus.apply(log_df(spark, rows), 4)
+    assert sorted((r.id, r.pos) for r in corpus.snapshot(early).collect()) == seen
+    assert corpus.vacuum(1) > 0 and corpus.vacuum(1) == 0
+    assert sorted((r.id, r.pos) for r in corpus.snapshot().collect()) == live
+    with pytest.raises(ValueError):
+        corpus.snapshot(early)
+
+
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path):
+    path = tmp_path / "c"
+    corpus = StreamingCorpus(spark, str(path))
+    corpus.apply(log_df(spark, [{"seq": 1, "op": "add", "id": "a", "text": "red"}]), 0)
+    version = corpus.version()
+    (path / "rows-dead").mkdir()  # written, not committed
+    (path / "version-000000000002.json").write_text('{"segm')  # torn
+    again = StreamingCorpus(spark, str(path))
+    assert again.version() == version and again.count() == 1
+    again.apply(log_df(spark, [{"seq": 2, "op": "add", "id": "b", "text": "blue"}]), 1)
+    assert again.count() == 2 and again.version() > version
+    torn = tmp_path / "t"
+    torn.mkdir()
+    (torn / "rows-x").mkdir()
+    with pytest.raises(CorruptCorpus):
+        StreamingCorpus(spark, str(torn))
+
+
+def test_late_write_back_of_one_id_twice(spark, tmp_path):
+    corpus = StreamingCorpus(spark, str(tmp_path / "c"))
+    corpus.apply(log_df(spark, [{"seq": k, "op": "add", "id": f"i{k}", "text": "t"} for k in range(3)]), 0)
+    corpus.set_embeddings(spark.createDataFrame([("i1", [1.0], "t"), ("i1", [2.0], "t"), ("i2", [5.0], "old"), ("i2", None, "t")], "id string, embedding array<float>, expected_text string"))
+    assert sorted((r.id, r.embedding) for r in corpus.snapshot().collect()) == [("i0", None), ("i1", [2.0]), ("i2", None)]
+
+
+def test_many_rounds_of_adds_and_evictions(spark, tmp_path):
+    """Twenty rounds that add five rows and evict from the third on what the round two before had added, half by group."""
+    corpus, live, seq = StreamingCorpus(spark, str(tmp_path / "c"), most_segments=4), set(), 0
+    for n in range(20):
+        rows = [{"seq": (seq := seq + 1), "op": "add", "id": f"r{n}-{k}", "text": f"round {n}", "group": f"g{n}"} for k in range(5)]
+        live |= {r["id"] for r in rows}
+        if n >= 2:
+            old = [{"seq": (seq := seq + 1), "op": "remove_group", "group": f"g{n - 2}"}] if n % 2 else [{"seq": (seq := seq + 1), "op": "remove_id", "id": f"r{n - 2}-{k}"} for k in range(5)]
+            rows += old
+            live -= {f"r{n - 2}-{k}" for k in range(5)}
+        corpus.apply(log_df(spark, rows), n)
+    assert {r.id for r in corpus.snapshot().collect()} == live and corpus.count() == 10
