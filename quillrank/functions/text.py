@@ -19,16 +19,25 @@ def tokenize(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(parted, F.lit(TERM), F.lit(0)), F.lower)
 
 
+#: A character that may be part of a cluster of several code points; Latin texts of whole letters have none.
+_CLUSTERS = r"[^\x00-\u02FF]|\r\n"
+
+
 def char_trigrams(text: Column) -> Column:
-    """All windows of three code points of the lower-case text, in order; fewer than three give none."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
+    """All windows of three characters (grapheme clusters) of the lower-case text, in order; fewer than three give none."""
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
+    return F.when(text.rlike(_CLUSTERS), grapheme_trigrams(text)).otherwise(plain)
 
 
 def grapheme_trigrams(text: Column) -> Column:
     """Windows of three grapheme clusters, for text with combining sequences that no single code point stands for."""
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"\X"), F.lit(0))
-    starts = F.when(F.size(parts) >= 3, F.sequence(F.lit(1), F.size(parts) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, 3), ""))
+
+    def windows(parts: Column) -> Column:
+        starts = F.when(F.size(parts) >= 3, F.sequence(F.lit(1), F.size(parts) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, 3), ""))
+
+    # bound to a name by a one-element array, so that the text is cut once and not for each window
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(r"\X"), F.lit(0))), windows), 1)
 
 
 def canonical_text(text: Column) -> Column:

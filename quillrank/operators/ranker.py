@@ -11,7 +11,7 @@ from .corpus import query_stats, trigram_index
 from .ranking import SIGNALS, SignalWeights, fuse_ranks, global_rank, rank_positive
 
 #: Beyond so many rows a single query's ranks come from a distributed sort instead of a window.
-WINDOW_ROWS = 2_000_000
+WINDOW_ROWS = 200_000
 
 
 def bm25_column(terms: list[str], n: int, average: float, df: dict[str, int]) -> Column:

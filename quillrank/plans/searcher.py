@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.corpus import build_corpus
 from ..operators.ranker import full_ordering, top_matches
 from ..operators.ranking import SignalWeights
+from ..sources.items import check_items
 from .diagnostics import EmbeddingUnavailable, Sink, ignore
 from .selection import DEFAULT_CANDIDATES, DEFAULT_PREAMBLE, ModelSession, SelectionConfig, SelectionTier, SelectionUnavailable
 
@@ -92,7 +93,7 @@ class Searcher:
             found = embed_rows(corpus, embedder).select("id", F.col("embedding").alias("_e"))
             corpus = corpus.join(found, "id", "left").withColumn("embedding", F.col("_e")).select(*corpus.columns)
         self.corpus = corpus.persist()
-        self.count = self.corpus.count()  # embeds now: an error is raised here
+        self.count = check_items(self.corpus)  # embeds now: an error is raised here
         self.embedder, self.weights, self.mode, self.sink, self.digits = embedder, weights, mode, sink, digits
         self.tier = None
         if session is not None:

@@ -76,8 +76,15 @@ def prefix_length(corpus: DataFrame, preamble: str) -> DataFrame:
     return corpus.agg((F.coalesce(F.sum(F.length("summary")), F.lit(0)) + 2 * F.greatest(F.count(F.lit(1)) - 1, F.lit(0)) + fixed).cast("long").alias("length"))
 
 
-def assemble_prefix(corpus: DataFrame, preamble: str) -> DataFrame:
-    """One row: the prefix with all summaries by position. For catalogs within the budget."""
+class PrefixTooLong(ValueError):
+    """A catalog's prefix is beyond the budget and is not built."""
+
+
+def assemble_prefix(corpus: DataFrame, preamble: str, capacity: int = DEFAULT_CAPACITY) -> DataFrame:
+    """One row: the prefix with all summaries by position. Its length is taken first; beyond ``capacity`` it isn't built."""
+    length = prefix_length(corpus, preamble).first().length
+    if length > capacity:
+        raise PrefixTooLong(f"a prefix of {length} characters is beyond {capacity}")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "summary"))), lambda s: s["summary"]), "\n\n")
     return corpus.agg(F.concat(F.lit(prefix_text(preamble, [])), joined).alias("prefix"))
 

@@ -126,7 +126,11 @@ def prefix_budget(spark, sf_dir):
     return P.prefix_length(I.part_items(spark, sf_dir), PREAMBLE)
 
 
-@query("id_enum_grammar")
+GRAMMAR = """SELECT '{"type": "object", "properties": {"ids": {"type": "array", "items": {"type": "string", "enum": ['
+  || string_agg('"' || n_nationkey || '"', ', ' ORDER BY n_nationkey) || ']}, "uniqueItems": true, "maxItems": ' || count(*) || '}}, "required": ["ids"]}' AS grammar FROM nation"""
+
+
+@query("id_enum_grammar", GRAMMAR)
 def id_enum_grammar(spark, sf_dir):
     """The answer's schema for a small catalog: its ids come to the driver, as the prefix's do."""
     ids = [r.id for r in _nation_items(spark, sf_dir).orderBy("pos").select("id").collect()]

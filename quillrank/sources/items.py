@@ -55,6 +55,29 @@ def empty_items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ITEM_SCHEMA)
 
 
+class InvalidItems(ValueError):
+    """Items that break the row contract."""
+
+
+def check_items(rows: DataFrame) -> int:
+    """The number of rows; ``InvalidItems`` if an id is null, a position is null or repeated, or vectors differ in length.
+
+    Repeated positions would leave ties without an order, and vectors of another length would score 0 without a word.
+    """
+    size = F.size("embedding")
+    got = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.countDistinct("pos").alias("places"), F.count("pos").alias("filled"),
+        F.min(F.when(F.col("embedding").isNotNull(), size)).alias("low"), F.max(F.when(F.col("embedding").isNotNull(), size)).alias("high"),
+    ).first()
+    if got.ids < got.n:
+        raise InvalidItems(f"{got.n - got.ids} of {got.n} items have no id")
+    if got.filled < got.n or got.places < got.n:
+        raise InvalidItems(f"{got.n} items have {got.places} distinct positions")
+    if got.low != got.high:
+        raise InvalidItems(f"embeddings have from {got.low} to {got.high} components")
+    return got.n
+
+
 def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/part.parquet")
     return items(df, F.col("p_partkey"), F.concat_ws(" ", "p_brand", "p_type"), F.col("p_partkey"), primary=F.col("p_name"), group=F.col("p_brand"))

@@ -41,3 +41,16 @@ def test_trigrams(spark):
 @pytest.mark.parametrize(("a", "b", "want"), [("fetchRw", "fetch_row", 10 / 13), ("colour pickr", "color-picker", 0.6), ("abc", "xyz", 0.0), ("ab", "abcd", 0.0), ("same_name", "sameName", 1.0)])
 def test_dice(spark, a, b, want):
     assert spark.range(1).select(dice(F.lit(a), F.lit(b))).first()[0] == pytest.approx(want, abs=1e-9)
+
+
+def test_trigrams_are_windows_of_clusters(spark):
+    import regex
+    from pyspark.sql import functions as F
+
+    from quillrank.functions.text import char_trigrams
+
+    texts = ["", "ab", "abcd", "Cafés", "ééé", "한ab", "a\r\nbc", "naïve", "ab\U0001f468‍\U0001f469‍\U0001f467c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", char_trigrams(F.col("t")).alias("g")).collect()
+    for r in rows:
+        parts = regex.findall(r"\X", r.t.lower())
+        assert r.g == ["".join(parts[k : k + 3]) for k in range(len(parts) - 2)]
