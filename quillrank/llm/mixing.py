@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, word_count
 
-BLOCKS = 4096
+BLOCKS = 1024
 #: Up to so many blocks of all sources, their placement is broadcast; beyond, it is joined by a shuffle.
 BROADCAST = 200_000
 #: A stretch of an output shard's order has about so many rows.
