@@ -202,3 +202,15 @@ def test_report(spark):
     got = Searcher(create_items(spark, CATALOG), session=Model("b", "c")).search("x")
     assert report(got).splitlines()[0].startswith("1. b  score=")
     assert report(got.limit(0)) == "(no matches)"
+
+
+def test_demo(spark):
+    from quillrank.plans.demo import QUERIES, demo_items, run_demo
+
+    rows = demo_items(spark)
+    assert check_items(rows) == 50
+    shown = run_demo(Searcher(rows, digits=9)).split("\n\n")
+    assert [s.splitlines()[0] for s in shown] == [f"> {q}" for q in QUERIES]
+    assert all(2 <= len(s.splitlines()) <= 6 for s in shown)
+    assert shown[0].splitlines()[1].startswith("1. restore.invoices") and "photoAlbums" in shown[1].splitlines()[1]
+    assert run_demo(Searcher(rows, session=Model("lock.reports", "nobody")), ["x"]).splitlines()[1].startswith("1. lock.reports")
