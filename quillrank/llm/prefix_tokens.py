@@ -11,7 +11,8 @@ truncation or budget question.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import ahocorasick
@@ -23,11 +24,29 @@ from pyspark.sql import functions as F
 from .common import slices
 
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space, as the pre-tokenizer has it.
+SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A segment: spaces, then what is not space. Text at the end may be spaces alone.
-SEGMENT = regex.compile(r"\s*\S+|\s+")
+SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+LEADING = re.compile(f"[{SPACE}]*")
 #: Contractions that are no piece without their last letter.
 SPLIT_EARLY = ("'re", "'ve", "'ll")
-CACHE = 400_000
+CACHE = 300_000
+
+
+class Known(dict):
+    """Counts of strings, each made by ``count`` when first asked for; strings of up to 64 characters are kept, a bounded number."""
+
+    def __init__(self, count: Callable[[str], int]):
+        self.count = count
+
+    def __missing__(self, text: str) -> int:
+        n = self.count(text)
+        if len(text) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = n
+        return n
 
 
 def _byte_chars() -> dict[int, str]:
@@ -71,7 +90,8 @@ class PrefixCounter:
         self.find.make_automaton()
         self.pair_ok: dict[tuple[int, int], bool] = {}
         self.tables: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
+        self.pieces = Known(lambda piece: self.piece_counts(piece.encode().decode("latin-1"))[-1])
+        self.totals = Known(lambda segment: sum(map(self.pieces.__getitem__, PIECE.findall(segment))))
 
     def bpe(self, piece: str) -> list[int]:
         """Plain merging of a piece (latin-1 text of its bytes), lowest rank first."""
@@ -149,17 +169,6 @@ class PrefixCounter:
         ends = [k for k in range(1, len(raw)) if raw[k] & 192 != 128] + [len(raw)]
         return [counts[k] for k in ends]
 
-    def segment_total(self, segment: str) -> int:
-        """Tokens of a whole segment: the last entry of its tables, piece by piece."""
-        got = self.totals.get(segment)
-        if got is None:
-            got = sum(self.piece_counts(p.encode().decode("latin-1"))[-1] for p in PIECE.findall(segment))
-            if len(segment) <= 64:
-                if len(self.totals) >= CACHE:
-                    self.totals.clear()
-                self.totals[segment] = got
-        return got
-
     def segment_table(self, segment: str) -> tuple[int, ...]:
         """Counts of the first 0, 1, ... code points of a segment.
 
@@ -178,7 +187,7 @@ class PrefixCounter:
                 inside[1] = sum(self.inside(c)[-1] for c in piece[:2])
             out += [done + k for k in inside]
             done += inside[-1]
-        spaces = len(segment) - len(segment.lstrip())
+        spaces = LEADING.match(segment).end()
         if spaces:
             out[1 : spaces + 1] = self.inside(segment[:spaces])
         if len(segment) <= 64:
@@ -202,15 +211,25 @@ class PrefixCounter:
             yield text[at:], False
 
     def total(self, text: str) -> int:
-        n, get, more = 0, self.totals.get, self.segment_total
-        for part, special in self.chunks(text):
-            if special:
-                n += 1
-            else:
-                for s in SEGMENT.findall(part):
-                    k = get(s)
-                    n += more(s) if k is None else k
-        return n
+        of = self.totals.__getitem__
+        return sum(1 if special else sum(map(of, SEGMENT.findall(part))) for part, special in self.chunks(text))
+
+    def total_and_fit(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and ``longest_prefix`` of it, segments counted once."""
+        if self.split_special is not None and self.split_special.search(text):
+            n = self.total(text)
+            return n, len(text) if n <= budget else self.longest_prefix(text, budget)
+        segments = SEGMENT.findall(text)
+        counts = list(map(self.totals.__getitem__, segments))
+        n = sum(counts)
+        if n <= budget:
+            return n, len(text)
+        done = k = 0
+        while done + counts[k] <= budget:
+            done += counts[k]
+            k += 1
+        table = self.segment_table(segments[k])
+        return n, sum(map(len, segments[:k])) + max(i for i, x in enumerate(table) if done + x <= budget)
 
     def prefix_counts(self, text: str) -> list[int]:
         """Token counts of the first 0, 1, ... code points of ``text``, each exact for that prefix encoded alone.
@@ -231,7 +250,7 @@ class PrefixCounter:
 
     def letters(self, text: str) -> int:
         """Tokens of a text in which special strings are ordinary letters."""
-        return sum(self.segment_total(s) for s in SEGMENT.findall(text))
+        return sum(self.totals[s] for s in SEGMENT.findall(text))
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """Code points of the longest prefix with at most ``budget`` tokens, from the table at segment borders.
@@ -245,7 +264,7 @@ class PrefixCounter:
             for s in [part] if special else SEGMENT.findall(part):
                 if done > budget:
                     return best
-                n = 1 if special else self.segment_total(s)
+                n = 1 if special else self.totals[s]
                 if special:
                     cut = [k for k in range(1, len(s)) if before + self.letters(tail + s[:k]) <= budget]
                     best = max([best, *(chars + k for k in cut)])
@@ -280,8 +299,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         c = counter(path)
         for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            tokens = [c.total(t) for t in texts]
-            fit = [len(t) if n <= limit else c.longest_prefix(t, limit) for t, n in zip(texts, tokens, strict=True)]
+            tokens, fit = zip(*[c.total_and_fit(t, limit) for t in texts], strict=True) if texts else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fit, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],

@@ -158,6 +158,27 @@ def test_prefix_counts_are_exact():
             assert mine.longest_prefix(text, budget) == max(k for k in range(len(text) + 1) if counts[k] <= budget)
 
 
+def test_prefix_counts_of_awkward_strings():
+    """Contractions, spaces of all kinds, control characters, marks and special strings in random order, every prefix and budget."""
+    from tokenizers import Tokenizer
+
+    path, rng = Q.vocabulary("byte_bpe_50k.json"), random.Random(1)
+    plain, mine = Tokenizer.from_file(path), prefix_tokens.counter(path)
+    parts = [*"\x1c\x1f\x85\xa0\u2003\u3000\ufeff\u200b\u0301abre'vlst  \n\t12é😀ñ.,!", "'re", "'ll", "'ve", "  ", " the", "<|endoftext|>"]
+    for _ in range(150):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 30)))
+        counts = [len(plain.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert mine.prefix_counts(text) == counts and mine.total(text) == counts[-1]
+        for budget in range(0, counts[-1] + 1, 3):
+            assert mine.total_and_fit(text, budget) == (counts[-1], max(k for k in range(len(text) + 1) if counts[k] <= budget))
+
+
+def test_long_pieces_take_time_in_proportion():
+    mine = prefix_tokens.counter(Q.vocabulary("byte_bpe_50k.json"))
+    for text in ("abcde" * 60_000, "'" * 300_000, " " * 300_000 + "a"):
+        assert mine.total_and_fit(text, 100)[1] == mine.longest_prefix(text, 100) >= 100
+
+
 def test_long_runs_of_letters_are_read_whole():
     run = "".join(chr(0x4E00 + k) for k in range(1000))
     words = toxicity.tokens(f"a {run} b {'_'.join(['poison', 'apple'] * 20)} c_d")
