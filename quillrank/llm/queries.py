@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, order_minhash, packing, pii, prefix_tokens, quality, simhash, slots, toxicity, vector_join
+from .common import shared_dir
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +59,12 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the stored versions of the map: sixteen shards, and one more."""
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     sixteen = slots.SlotMap.first(16)
-    return slots.shard(_docs(spark, sf_dir), sixteen, sixteen.grow())
+    for version in (sixteen, sixteen.grow()):
+        slots.save_map(version, spark, path)
+    return slots.shard(_docs(spark, sf_dir), slots.load_map(spark, path, sixteen.version), slots.load_map(spark, path))
 
 
 def op10_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,17 +98,27 @@ def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
 
 def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Rows and bytes of each virtual slot that has any: at most ``slots`` rows, combined before the shuffle."""
-    size = byte_len(F.col("text")) + 1
-    return docs.groupBy(virtual_slot(F.col("doc_id"), slots).alias("vslot")).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
+    size = byte_len(F.col("text").cast("string")) + 1
+    return docs.groupBy(virtual_slot(F.col("doc_id").cast("long"), slots).alias("vslot")).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
+
+
+def rebalance(docs: DataFrame, path: str, tolerance: float = 0.02) -> SlotMap:
+    """Edit the map stored under ``path`` by the bytes that ``docs`` have in each slot, and store the edit as its next version."""
+    old = load_map(docs.sparkSession, path)
+    new = old.rebalance({r.vslot: r.bytes for r in slot_bytes(docs, len(old.of_slot)).collect()}, tolerance)  # a row for each slot
+    if new.version != old.version:
+        save_map(new, docs.sparkSession, path)
+    return new
 
 
 def shard(docs: DataFrame, slot_map: SlotMap, grown: SlotMap | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version for every row of ``docs``.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version, vslot_bytes for every row of ``docs``.
 
     ``law`` is ``key``: the id and the map decide alone. ``slot`` is the row's place in its shard, from 0 and without
-    gaps: rows are numbered inside each virtual slot by (doc_id, crc, size), and a slot starts where the slots of its
-    shard before it end. Null ids share a slot; a null text has size 1 and the checksum of the empty text. Rows that
-    are equal in id and text get neighbouring places. An empty table gives no rows; other columns are ignored.
+    gaps: a slot starts where the slots of its shard before it end, and in it rows are numbered by (doc_id, crc, size). A
+    slot with far more rows than others, as rows without an id may make, is numbered in parts by the crc, so that no task
+    sorts it whole. Null ids share a slot; a null text has size 1 and the checksum of the empty text. Rows that are equal
+    in id and text get neighbouring places. An empty table gives no rows; other columns are ignored.
     """
     slots = len(slot_map.of_slot)
     text = F.col("text").cast("string")
@@ -116,18 +126,24 @@ def shard(docs: DataFrame, slot_map: SlotMap, grown: SlotMap | None = None) -> D
         F.col("doc_id").cast("long").alias("doc_id"),
         (byte_len(text) + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"),
-        virtual_slot(F.col("doc_id"), slots).alias("vslot"),
+        virtual_slot(F.col("doc_id").cast("long"), slots).alias("vslot"),
     )
-    counts = rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``slots`` rows
-    n_of, starts, filled = {r.vslot: r.n for r in counts}, [0] * slots, [0] * slot_map.shards
-    for s, held_by in enumerate(slot_map.of_slot):
-        starts[s] = filled[held_by]
-        filled[held_by] += n_of.get(s, 0)
-    spark = docs.sparkSession
-    table = [(s, x, starts[s], (grown or slot_map).of_slot[s]) for s, x in enumerate(slot_map.of_slot)]
-    placed = F.broadcast(spark.createDataFrame(table, "vslot int, shard int, start long, grown int"))  # ``slots`` rows
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("place", place).join(placed, "vslot").select(
+    held = {r.vslot: r for r in slot_bytes(docs, slots).collect()}  # at most ``slots`` rows
+    most = max(1, 2 * sum(r.rows for r in held.values()) // slots, 4096)
+    cuts = [-(-held[s].rows // most) if s in held else 1 for s in range(slots)]  # in all at most 1.5 * ``slots`` parts
+    rows = rows.withColumn("part", F.shiftright(F.col("text_crc32") * F.element_at(F.lit(cuts), F.col("vslot") + 1), 32).cast("int"))
+    n_of = {(s, 0): r.rows for s, r in held.items() if cuts[s] == 1}
+    large = [s for s in range(slots) if cuts[s] > 1]
+    if large:
+        n_of |= {(r.vslot, r.part): r.n for r in rows.where(F.col("vslot").isin(large)).groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table, filled = [], [0] * slot_map.shards
+    for s, x in enumerate(slot_map.of_slot):
+        for k in range(cuts[s]):
+            table.append((s, k, x, filled[x], (grown or slot_map).of_slot[s], held[s].bytes if s in held else 0))
+            filled[x] += n_of.get((s, k), 0)
+    placed = F.broadcast(docs.sparkSession.createDataFrame(table, "vslot int, part int, shard int, start long, grown int, vslot_bytes long"))
+    place = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
+    return rows.withColumn("place", place).join(placed, ["vslot", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"),
-        (F.col("grown") if grown else F.lit(None).cast("int")).alias("grown_shard"), "vslot", F.lit(slot_map.version).alias("map_version"),
+        (F.col("grown") if grown else F.lit(None).cast("int")).alias("grown_shard"), "vslot", F.lit(slot_map.version).alias("map_version"), "vslot_bytes",
     )

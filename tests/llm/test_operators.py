@@ -55,6 +55,28 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([6, 4], ["a", "b"], ["k", "k"], 10, 2) == [0, 1]
 
 
+def test_best_fit_against_a_search_of_all_bins():
+    rng = random.Random(9)
+    for limit in (1, 2, 4):
+        sizes = [rng.choice([0, rng.randint(1, 100), rng.randint(1, 20)]) for _ in range(400)]
+        sources = [rng.choice([None, "a", "a", "a", "b", "c"]) for _ in sizes]
+        clusters = [rng.choice([None, rng.randrange(60)]) for _ in sizes]
+        bins, want = [], [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            fits = []
+            for b, members in enumerate(bins):
+                left = 100 - sum(sizes[m] for m in members)
+                clash = clusters[i] is not None and any(clusters[m] == clusters[i] for m in members)
+                crowd = sources[i] is not None and sum(sources[m] == sources[i] for m in members) >= limit
+                if left >= sizes[i] and not clash and not crowd:
+                    fits.append((left, b))
+            want[i] = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append([])
+            bins[want[i]].append(i)
+        assert packing.best_fit(sizes, sources, clusters, 100, limit) == want
+
+
 def test_vector_edge_rows(spark):
     v = [1.0] + [0.0] * 7
     rows = [(1, v, 1), (2, [x * 3 for x in v], 1), (3, v, 2), (4, None, 1), (5, [0.0] * 8, 1), (6, [float("nan")] * 8, 1), (7, v, None), (8, [None] * 8, 1), (9, [], 1), (10, [1.0, 0.1] + [0.0] * 6, 1)]
@@ -140,6 +162,66 @@ def test_contexts_hold_numbers_and_other_identifiers(spark):
             assert got[d] == f"email:{text.index('odd')}:{text.index(' now')}"
 
 
+def test_contextual_recall_and_precision(spark):
+    """Unseen identifiers behind twenty contexts that seeds share, among as many tokens of like shape behind contexts of their own."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    hints, others = [f"{word()} {word()}" for _ in range(20)], [f"{word()} {word()}" for _ in range(20)]
+    make = {"email": (lambda k: f"u{k}@h{k}.example.org", lambda k: f"u{k}@intranet"), "phone": (lambda k: f"+49 30 {rng.randint(10**6, 10**7)}", lambda k: f"030-{rng.randint(10**6, 10**7)}")}
+    rows, planted, decoys = [], set(), 0
+    for h, hint in enumerate(hints):
+        seed, unseen = make["email" if h % 2 else "phone"]
+        rows += [(1000 * h + k, f"{word()} {hint} {seed(k)} {word()}") for k in range(12)]
+        for k in range(12, 18):
+            text, value = f"{word()} {hint} ", unseen(k)
+            rows.append((1000 * h + k, text + value + f" {word()}"))
+            planted.add((1000 * h + k, f"{'email' if h % 2 else 'phone'}:{len(text)}:{len(text) + len(value)}"))
+    for h, other in enumerate(others):  # like shapes, no seeds behind the same words
+        for k in range(18):
+            rows.append((100_000 + 1000 * h + k, f"{word()} {other} {make['email' if h % 2 else 'phone'][1](k)} {word()}"))
+            decoys += 1
+    got = pii.digest(edge(spark, rows)).collect()
+    base = {r.doc_id: r.n_email + r.n_ip + r.n_card + r.n_phone for r in got}
+    added = {(r.doc_id, s) for r in got if r.spans and not base[r.doc_id] for s in r.spans.split(",")}
+    assert len(planted) == 120 and decoys == 360
+    assert len(added & planted) >= 0.95 * len(planted) and len(added & planted) >= 0.95 * len(added)
+
+
+def test_long_texts_of_identifiers(spark):
+    """Work in proportion to the text: a hundred thousand tokens and spans in one text."""
+    text = "a1@b.co 10.0.0.1 é 12 " * 25_000
+    row = pii.digest(edge(spark, [(1, text)])).collect()[0]
+    assert (row.n_email, row.n_ip) == (25_000, 25_000)
+    spans = row.spans.split(",")
+    assert len(spans) == 50_000 and spans[24_999] == f"email:{22 * 24_999}:{22 * 24_999 + 7}" and spans[-1] == f"ip:{22 * 24_999 + 8}:{22 * 24_999 + 16}"
+    assert pii.redact(edge(spark, [(1, text)])).collect()[0].text == "[EMAIL] [IP] é 12 " * 25_000
+
+
+def test_redact_over_parts_and_overlaps(spark):
+    """Spans at, over and between the borders of the parts that a text is cut into; overlapping kinds are one cut."""
+    rng = random.Random(4)
+    values = ["a@b.co", "10.0.0.1", "+1 555 010 2000", "4111 1111 1111 1111", "+4111111111111111"]
+    rows = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            parts += ["é😀x"[rng.randrange(3)] * rng.choice([0, 1, 5, 254, 255, 256, 257, 600]), rng.choice(values)]
+        rows.append((d, " ".join(parts)))
+    spans = {r.doc_id: r.spans for r in pii.digest(edge(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(edge(spark, rows)).collect()}
+    for d, text in rows:
+        cuts = []
+        for start, end, kind in sorted((int(s), int(e), pii.KINDS.index(k)) for k, s, e in (x.split(":") for x in spans[d].split(",") if x)):
+            if cuts and cuts[-1][1] > start:
+                cuts[-1][1] = max(cuts[-1][1], end)
+            else:
+                cuts.append([start, end, kind])
+        out, at = "", 0
+        for start, end, kind in cuts:
+            out, at = out + text[at:start] + f"[{pii.KINDS[kind].upper()}]", end
+        assert got[d] == out + text[at:]
+
+
 def test_redact(spark):
     rows = [(1, "mail a@b.co now"), (2, "nothing"), (3, None), (4, "é 10.0.0.1 and +1 (555) 010-2000.")]
     got = {r.doc_id: r.text for r in pii.redact(edge(spark, rows)).collect()}

@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators against brute force on the smallest tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -10,9 +11,10 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillrank.llm import queries as Q
-from quillrank.llm import vector_join
+from quillrank.llm import mixing, slots, vector_join
 
 from ..conftest import SF
 
@@ -64,19 +66,48 @@ def test_simhash(spark, docs):
     assert got.component_id.to_dict() == least
 
 
+def plain_targets(sizes, order):
+    """The law of the contract, one source over its limit at a time."""
+    weight = {x: (3, 1, 2)[k % 3] for k, x in enumerate(order)}
+    fixed = {}
+    while True:
+        rest = [x for x in order if x not in fixed]
+        left = 1.5 * sum(sizes.values()) - sum(fixed.values())
+        goal = {x: left * weight[x] / sum(weight[y] for y in rest) for x in rest}
+        over = [x for x in rest if goal[x] > 2 * sizes[x] + 1e-9]
+        if not over:
+            return fixed | goal
+        fixed |= {x: 2.0 * sizes[x] for x in over}
+
+
 def test_mixing(spark, docs):
     got = run(spark, "op2_split_tree")
     sizes = docs.text.map(lambda t: len(WORD.findall(t)))
     assert got["size"].to_dict() == sizes.to_dict()
-    assert (got.taken <= 2 * got["size"]).all()
+    assert (got.taken <= 2 * got["size"]).all() and (got.taken % got["size"].clip(lower=1) == 0).all()
     by = got.groupby(docs.source)
-    assert (by.source_size.first() == by["size"].sum()).all()
-    assert (by.target.first() <= 2 * by["size"].sum() + 1e-6).all()
-    assert abs(by.target.first().sum() - 1.5 * sizes.sum()) < 1e-3
+    of_source = sizes.groupby(docs.source).sum()
+    assert (by.source_size.first() == of_source).all()
+    want = plain_targets(of_source.to_dict(), sorted(of_source.index))
+    assert all(abs(by.target.first()[x] - w) < 1e-6 * max(1, w) for x, w in want.items())
     assert ((by.taken.sum() - by.target.first()).abs() <= by["size"].max()).all()
     assert got.taken.to_dict() == run(spark, "op2_split_tree").taken.to_dict()
 
 
+def test_mixed_shards(spark):
+    """Rows come as often as they are taken, each shard shuffled by itself and none much larger than another."""
+    table = spark.read.parquet(f"{LARGE}/documents.parquet")
+    rows = mixing.shard_rows(table).select("doc_id", "mix_shard", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).toPandas()
+    taken = mixing.digest(table).toPandas().set_index("doc_id")
+    times = rows.doc_id.value_counts()
+    assert times.to_dict() == {d: len(x) for d, x in taken.shards.items() if len(x)}
+    assert rows.groupby("doc_id").mix_shard.apply(sorted).to_dict() == {d: sorted(x) for d, x in taken.shards.items() if len(x)}
+    size = rows.groupby("mix_shard").size()
+    assert len(size) == 16 and size.max() < 1.3 * size.min()
+    one = rows[rows.mix_shard == 3].sort_values("at").doc_id
+    assert abs(one.reset_index(drop=True).corr(pd.Series(range(len(one))))) < 0.2
+
+
 def test_order_minhash(spark, docs):
     got = run(spark, "op3_order_minhash")
     ids = sorted(docs.index, reverse=True)
@@ -190,16 +221,47 @@ def test_pii(spark, docs):
 
 
 def test_shards(spark, docs):
+    """Size, checksum, shard and place of every row, recomputed."""
     got = run(spark, "op9_virtual_slots")
-    assert got["size"].to_dict() == {d: len(t.encode()) + 1 for d, t in docs.text.items()}
-    assert got.text_crc32.to_dict() == {d: zlib.crc32(t.encode()) for d, t in docs.text.items()}
-    assert got["shard"].between(0, 15).all() and set(got.law) == {"key"}
+    size = {d: len(t.encode()) + 1 for d, t in docs.text.items()}
+    crc = {d: zlib.crc32(t.encode()) for d, t in docs.text.items()}
+    assert got["size"].to_dict() == size and got.text_crc32.to_dict() == crc and set(got.law) == {"key"}
+    sixteen = slots.SlotMap.first(16)
+    vslot = {d: int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16) % 4096 for d in docs.index}
+    assert got.vslot.to_dict() == vslot
+    assert got["shard"].to_dict() == {d: sixteen.of_slot[v] for d, v in vslot.items()}
+    assert got.grown_shard.to_dict() == {d: sixteen.grow().of_slot[v] for d, v in vslot.items()}
     for _, part in got.groupby("shard"):
-        assert sorted(part.slot) == list(range(len(part)))
+        order = sorted(part.index, key=lambda d: (vslot[d], d))
+        assert part.slot.to_dict() == {d: k for k, d in enumerate(order)}
+        assert part.vslot_bytes.to_dict() == {d: sum(size[x] for x in docs.index if vslot[x] == vslot[d]) for d in part.index}
     moved = got[got.grown_shard != got["shard"]]
     assert (moved.grown_shard == 16).all()
 
 
+def test_shards_of_many_rows_without_an_id(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(None if k % 2 else k, f"text {rng.randrange(3000)}") for k in range(20_000)]
+    first = slots.SlotMap.first(4)
+    got = slots.shard(spark.createDataFrame(rows, "doc_id long, text string"), first).toPandas()
+    assert sorted(got.text_crc32) == sorted(zlib.crc32(t.encode()) for _, t in rows)
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert got[got.doc_id.isna()]["shard"].nunique() == 1
+
+
+def test_rebalance_of_a_stored_map(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    first = slots.SlotMap.first(8)
+    slots.save_map(first, spark, path)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    new = slots.rebalance(table, path)
+    assert slots.load_map(spark, path) == new and slots.load_map(spark, path, first.version) == first
+    load = lambda m: slots.shard(table, m).groupBy("shard").sum("size").toPandas()["sum(size)"]
+    assert load(new).max() - load(new).min() < load(first).max() - load(first).min()
+    assert slots.rebalance(table, path) == new
+
+
 def test_names_and_oracles():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in Q.queries()] == list(range(1, 11))
     assert set(Q.oracle_sql()) <= set(Q.queries())
