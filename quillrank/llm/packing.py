@@ -15,10 +15,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import WORD, let, word_count
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, source_limit: int) -> list[int]:
@@ -57,7 +57,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, sou
 
 
 def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 4, group_rows: int = 4096, cluster_col: str | None = None) -> DataFrame:
-    """doc_id, n_words, piece, start_word, words, bin: where every word of every row of ``docs`` is packed.
+    """doc_id, n_words, piece, start_word, words, bin, th (hash of the text): where every word of every row of ``docs`` is packed.
 
     A row of more than ``capacity`` words fills bins of its own with its whole pieces; the rest, or a shorter row, is an
     item of the packing. Without ``cluster_col``, rows with equal texts are a cluster. Null texts are empty; an empty
@@ -70,9 +70,10 @@ def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 4, group_row
     spread = F.xxhash64(F.lit(5), F.col("doc_id"), text)
     n = docs.count()
     groups = max(1, -(-n // group_rows))
+    th = F.xxhash64(F.coalesce(text, F.lit("")))
     rows = docs.select(
         F.pmod(spread, F.lit(groups)).cast("long").alias("grp"), F.xxhash64(spread).alias("ord"), F.col("doc_id").cast("long").alias("doc_id"),
-        word_count(text).alias("n_words"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"),
+        word_count(text).alias("n_words"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), th.alias("th"),
     )
     rows = rows.repartition("grp").sortWithinPartitions("grp", "ord", "doc_id")
     most = 2 * group_rows
@@ -82,7 +83,7 @@ def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 4, group_row
         group, used = None, 0  # bins of the group so far
 
         def flush() -> pa.RecordBatch:
-            names = ["doc_id", "n_words", "piece", "start_word", "words", "bin"]
+            names = ["doc_id", "n_words", "piece", "start_word", "words", "bin", "th"]
             nonlocal used
             first, items = (group << 36) + used, []
             for r in held:
@@ -91,10 +92,10 @@ def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 4, group_row
                     items.append((rest, r[4], r[5], r, full))
             bins = best_fit([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], capacity, source_limit)
             whole = max(bins, default=-1) + 1
-            out = [(x[3][2], x[3][3], x[4], x[4] * capacity, x[0], first + b) for x, b in zip(items, bins, strict=True)]
+            out = [(x[3][2], x[3][3], x[4], x[4] * capacity, x[0], first + b, x[3][6]) for x, b in zip(items, bins, strict=True)]
             for r in held:
                 for piece in range(r[3] // capacity):
-                    out.append((r[2], r[3], piece, piece * capacity, capacity, first + whole))
+                    out.append((r[2], r[3], piece, piece * capacity, capacity, first + whole, r[6]))
                     whole += 1
             used += whole
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
@@ -110,4 +111,25 @@ def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 4, group_row
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, piece long, start_word long, words long, bin long")
+    return rows.mapInArrow(run, "doc_id long, n_words long, piece long, start_word long, words long, bin long, th long")
+
+
+def packed_texts(docs: DataFrame, capacity: int = 2048, **how) -> DataFrame:
+    """``pack`` of ``docs`` and, for each row of it, the text of the piece: the packed corpus itself.
+
+    A row of one piece keeps its text as it is; pieces of a longer row are its words with the white space before each.
+    Rows of ``docs`` that are equal in id and text have the same pieces. Nulls are as in ``pack``; a null text is empty.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    packed = pack(docs, capacity, **how)
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text")).withColumn("_th", F.xxhash64("_text")).dropDuplicates(["_id", "_th"])
+
+    def pieces(words: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / capacity).cast("int")), lambda k: F.array_join(F.slice(words, k * capacity + 1, F.lit(capacity)), ""))
+        return F.when(F.size(words) > capacity, parts).otherwise(F.array(F.col("_text")))
+
+    words = F.regexp_extract_all("_text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.when(F.octet_length("_text") <= capacity, F.array("_text")).otherwise(let(words, pieces))  # so short a text is one piece
+    split = whole.select("_id", "_th", F.posexplode(cut).alias("_piece", "_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("piece") == F.col("_piece"))
+    return packed.join(split, same).select(*[c for c in packed.columns if c != "th"], F.col("_text").alias("text"))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
 #: Kinds in order, with expressions that give the same matches as the plain ones but never backtrack: possessive
 #: repeats, and no search from the middle of a run whose start has failed.
@@ -61,11 +61,6 @@ def _left(before: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(tail, "[0-9]", "9"), r"\s+", " ")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, wherever and however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
     """``emit(state, item)`` of each item, where ``step(state, item)`` is the state that the next item meets; ``kind`` is the type emitted.
 

@@ -49,6 +49,23 @@ def test_packing_edge_rows(spark):
     assert packing.pack(edge(spark, [])).count() == 0
 
 
+def test_packed_texts(spark):
+    """Every piece has the words that its row says, and a document's pieces are its words in order."""
+    rows = [(d, t) for d, t in ROWS] + [(20, "w " * 2048), (21, "  a\n" + "word, " * 2049 + " "), (21, "other"), (22, "x" * 3000)]
+    docs = edge(spark, rows)
+    packed = packing.pack(docs).collect()
+    got = packing.packed_texts(docs).collect()
+    key = lambda r: (r.doc_id or -1, r.n_words, r.piece, r.bin)
+    assert sorted(map(key, packed)) == sorted(map(key, got))
+    texts = {}
+    for r in got:
+        assert len(r.text.split()) == r.words
+        texts.setdefault((r.doc_id, r.n_words), {})[r.piece] = r.text
+    for d, t in rows:
+        assert any(" ".join(x[k] for k in sorted(x)).split() == (t or "").split() for (i, _), x in texts.items() if i == d)
+    assert packing.packed_texts(edge(spark, [])).count() == 0
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([6, 5, 4, 3], ["a", "b", "c", "d"], [None] * 4, 10, 1) == [0, 1, 0, 1]
     assert packing.best_fit([6, 5, 4], ["a", "b", "a"], [None] * 3, 10, 1) == [0, 1, 1]
