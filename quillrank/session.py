@@ -25,9 +25,9 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see, as the session names it; where it names none (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all machines see, as the session names it; where it names none (tests), the context gets a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "quillrank-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillrank-checkpoints"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

@@ -149,3 +149,26 @@ def test_many_rounds_of_adds_and_evictions(spark, tmp_path):
             live -= {f"r{n - 2}-{k}" for k in range(5)}
         corpus.apply(log_df(spark, rows), n)
     assert {r.id for r in corpus.snapshot().collect()} == live and corpus.count() == 10
+
+
+def test_shared_folder_where_none_is_named():
+    """The setting counts; without it the context's folder; without that a local one, which the context keeps."""
+    from types import SimpleNamespace
+
+    from quillrank.session import shared_dir
+
+    class Context:
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, path):
+            self.folder = f"{path}/one"
+
+    conf, context = {"spark.checkpoint.dir": "hdfs://a/b/"}, Context()
+    session = SimpleNamespace(conf=conf, sparkContext=context)
+    assert shared_dir(session) == "hdfs://a/b"
+    conf.clear()
+    first = shared_dir(session)
+    assert first.endswith("quillrank-checkpoints/one") and shared_dir(session) == first == context.folder
