@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cells import blocks, by_block, pairs_in_runs
+from .cells import spanning
 from .common import discard, materialise, slices
-from .components import components, forest
+from .components import components
 
 SEED = 42
 
@@ -95,64 +95,37 @@ def agreeing(n: int, bits: int) -> int:
     return min(range(2, 7), key=work)
 
 
-def links(nodes: DataFrame, coarse: list[str], wide: list[str] = (), bits: int = 4, wide_bits: int = 0, chunk: int = 2048) -> DataFrame:
-    """Edges (a, b) that span the components of the rows of ``nodes`` (distinct longs ``node``).
+def links(nodes: DataFrame, bits: int = 4, chunk: int = 2048) -> DataFrame:
+    """Edges (a, b) that span the components of the distinct fingerprints ``fp`` of ``nodes`` that differ in at most ``bits`` bits.
 
-    Two rows are linked when one of the fingerprints ``coarse`` differs in at most ``bits`` bits and, where there are
-    ``wide`` columns, these differ in at most ``wide_bits`` bits together. Every such pair meets in a cell of the grid.
+    Every such pair meets in a cell of the grid.
     """
     c = agreeing(nodes.count(), bits)
     masks = _group_masks(bits + c)
     cells = [sum(masks[i] for i in chosen) for chosen in combinations(range(bits + c), c)]
-    wide = list(wide)
-    names = ["cell", "fp", "node", *wide]
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f in range(len(coarse)):
-                counts = segment_counts(b.column(f).to_numpy().view(np.uint64))
-                for n, m in enumerate(cells):
-                    key = (counts & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                    key = (key * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(f * len(cells) + n)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(f), *b.columns[len(coarse) :]], names=names)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each(c: dict) -> pa.RecordBatch | None:
-            fp, node = c["fp"].view(np.uint64), c["node"]
-            more = [c[w].view(np.uint64) for w in wide]
-            counts = segment_counts(fp)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            held = 0
-
-            def shrink() -> None:
-                nonlocal found, held
-                a, b = forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-                found, held = [(a, b)], 0
-
-            for i, j in pairs_in_runs(c["block"], c["ci"], c["cj"]):
-                near = manhattan(counts[i], counts[j]) <= bits
-                i, j = i[near], j[near]
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= bits
-                i, j = i[near], j[near]
-                if more:
-                    near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in more) <= wide_bits
-                    i, j = i[near], j[near]
-                if len(i):
-                    found.append((node[i], node[j]))
-                    held += len(i)
-                if held > 1 << 20:
-                    shrink()
-            if found:
-                shrink()
-                return pa.RecordBatch.from_arrays([pa.array(found[0][0]), pa.array(found[0][1])], names=["a", "b"])
-            return None
-
-        yield from by_block(batches, ["block", "ci", "cj"], each)
-
-    filed = nodes.select(*[F.col(x).alias(f"f{i}") for i, x in enumerate(coarse)], "node", *wide).mapInArrow(file, ", ".join(f"{x} long" for x in names))
-    dealt = blocks(filed, "cell", "node", chunk).select("block", "ci", "cj", "fp", "node", *wide)
-    return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
+            counts = segment_counts(b.column(0).to_numpy().view(np.uint64))
+            for n, m in enumerate(cells):
+                key = (counts & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+                key = (key * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(n)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(0)], names=["cell", "node", "fp"])
+
+    def near(c: dict) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        fp = c["fp"].view(np.uint64)
+        counts = segment_counts(fp)
+
+        def within(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            hit = manhattan(counts[i], counts[j]) <= bits
+            at = np.flatnonzero(hit)
+            hit[at] = np.bitwise_count(fp[i[at]] ^ fp[j[at]]) <= bits
+            return hit
+
+        return within
+
+    return spanning(nodes.select("fp").mapInArrow(file, "cell long, node long, fp long"), ["fp"], near, chunk)
 
 
 #: Of the MINIMA least shingle hashes of a text, BANDS groups of ROWS are cells in which texts meet. A likeness of four
@@ -199,23 +172,6 @@ def alike(x: np.ndarray, y: np.ndarray, likeness: float) -> bool:
     return both >= likeness * (len(x) + len(y) - both) - 1e-9
 
 
-def _stars(c: dict, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch | None:
-    """Edges that span the components of the pairs in blocks for which ``near`` holds; pairs that are linked already are not asked."""
-    nodes, at = np.unique(c["node"], return_inverse=True)
-    root = np.arange(len(nodes))
-    a = b = root[:0]
-    for i, j in pairs_in_runs(c["block"], c["ci"], c["cj"]):
-        apart = root[at[i]] != root[at[j]]
-        i, j = i[apart], j[apart]
-        if len(i):
-            hit = near(i, j)
-            i, j = i[hit], j[hit]
-        if len(i):
-            a, b = forest(np.concatenate([a, at[i]]), np.concatenate([b, at[j]]))
-            root[a] = b
-    return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"]) if len(a) else None
-
-
 def candidates(nodes: DataFrame, likeness: float, chunk: int = 2048) -> DataFrame:
     """Edges that span the components of texts that share a cell and may be ``likeness`` alike, by size and signature.
 
@@ -231,24 +187,20 @@ def candidates(nodes: DataFrame, likeness: float, chunk: int = 2048) -> DataFram
             for k in range(BANDS):
                 yield pa.RecordBatch.from_arrays([b.column(k), *b.columns[BANDS:]], names=names)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each(c: dict) -> pa.RecordBatch | None:
-            size, mark = c["size"], np.stack([c[x] for x in SIGNATURE], axis=1).view(np.uint64)
+    def near(c: dict) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        size, mark = c["size"], np.stack([c[x] for x in SIGNATURE], axis=1).view(np.uint64)
 
-            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                hit = np.minimum(size[i], size[j]) >= likeness * np.maximum(size[i], size[j]) - 1e-9
-                at = np.flatnonzero(hit)
-                differ = mark[i[at]] ^ mark[j[at]]
-                hit[at] = np.bitwise_count((differ | (differ >> np.uint64(1))) & _TWO).sum(axis=1) <= most
-                return hit
+        def within(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            hit = np.minimum(size[i], size[j]) >= likeness * np.maximum(size[i], size[j]) - 1e-9
+            at = np.flatnonzero(hit)
+            differ = mark[i[at]] ^ mark[j[at]]
+            hit[at] = np.bitwise_count((differ | (differ >> np.uint64(1))) & _TWO).sum(axis=1) <= most
+            return hit
 
-            return _stars(c, near)
-
-        yield from by_block(batches, ["block", "ci", "cj"], each, 16384)
+        return within
 
     filed = nodes.select(*KEYS, "node", "size", *SIGNATURE).mapInArrow(file, ", ".join(f"{x} long" for x in names))
-    dealt = blocks(filed, "cell", "node", chunk).select("block", "ci", "cj", "node", "size", *SIGNATURE)
-    return dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
+    return spanning(filed, ["size", *SIGNATURE], near, chunk, 16384)
 
 
 def verified(texts: DataFrame, words: int, likeness: float, chunk: int = 1024) -> DataFrame:
@@ -263,25 +215,21 @@ def verified(texts: DataFrame, words: int, likeness: float, chunk: int = 1024) -
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "cell", "sets"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each(c: dict) -> pa.RecordBatch | None:
-            ends, values = c["sets"].offsets.to_numpy(), c["sets"].values.to_numpy()
-            size = np.diff(ends)
-
-            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                hit = np.minimum(size[i], size[j]) >= likeness * np.maximum(size[i], size[j]) - 1e-9
-                for k in np.flatnonzero(hit):
-                    x, y = i[k], j[k]
-                    hit[k] = alike(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]], likeness)
-                return hit
+    def near(c: dict) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        ends, values = c["sets"].offsets.to_numpy(), c["sets"].values.to_numpy()
+        size = np.diff(ends)
 
-            return _stars(c, near)
+        def within(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            hit = np.minimum(size[i], size[j]) >= likeness * np.maximum(size[i], size[j]) - 1e-9
+            for k in np.flatnonzero(hit):
+                x, y = i[k], j[k]
+                hit[k] = alike(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]], likeness)
+            return hit
 
-        yield from by_block(slices(batches, 1024), ["block", "ci", "cj"], each, 1024)
+        return within
 
     rows = materialise(texts.select("node", "cell", "text").mapInArrow(cut, "node long, cell long, sets array<long>"), "shingles")
-    dealt = blocks(rows, "cell", "node", chunk).select("block", "ci", "cj", "node", "sets")
-    out = dealt.repartition("block").sortWithinPartitions("block", "ci", "cj").mapInArrow(join, "a long, b long")
+    out = spanning(rows, ["sets"], near, chunk, 1024)
     out._quill_path = rows._quill_path  # for discard()
     return out
 
@@ -296,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     """
     marked = materialise(with_fingerprint(docs, words, id_col, text_col), "simhash")
     nodes = materialise(marked.select("fp").distinct(), "fingerprints")
-    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), ["fp"], bits=bits))
+    roots = components(links(nodes, bits))
     # two written tables: a fingerprint that many rows share makes a join that adaptive execution can split
     rooted = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
     rows = materialise(rooted, "rooted")
