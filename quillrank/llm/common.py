@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: A word: a maximal run of bytes other than the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see; a local one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "quillrank-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What ``materialise`` writes inside is deleted at the end, but for tables that were taken by ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for df in _open.pop():
+            discard(df)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Take a table out of the innermost ``scratch`` and leave it to the one around that, if there is one."""
+    if _open and any(x is df for x in _open[-1]):
+        _open[-1][:] = [x for x in _open[-1] if x is not df]
+        if len(_open) > 1:
+            _open[-2].append(df)
+    return df
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +49,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path  # for discard()
+    if _open:
+        _open[-1].append(out)
     return out
 
 

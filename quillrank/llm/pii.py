@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import keep, let, materialise, scratch
 
 #: Kinds in order, with expressions that give the same matches as the plain ones but never backtrack: possessive
 #: repeats, and no search from the middle of a run whose start has failed.
@@ -156,7 +156,14 @@ def extract(docs: DataFrame) -> DataFrame:
     return spans.withColumn("tokens", outside(some, F.col("base"))).drop("text", "base")
 
 
-def discover(extracted: DataFrame, seeds: int = 5, confidence: float = 0.6, rounds: int = 3) -> DataFrame | None:
+def discover(extracted: DataFrame, **how) -> DataFrame | None:
+    """What ``_discover`` finds, as a table of its own; the graph is deleted."""
+    with scratch():
+        found = _discover(extracted, **how)
+        return None if found is None else keep(materialise(found, "found"))
+
+
+def _discover(extracted: DataFrame, seeds: int = 5, confidence: float = 0.6, rounds: int = 3) -> DataFrame | None:
     """doc_id, th, kind, start, end of tokens that confident patterns mark, or None where no pattern has enough seeds.
 
     ``extracted`` is a written table. Repeats of an instance under a pattern count once, so copies prove nothing.

@@ -420,23 +420,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, per_documen
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            crc = pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), crc, b.column(2), pa.array([window_texts(t, per_document) for t in texts], pa.list_(pa.string()))], names=["doc_id", "crc", "label", "windows"])
+            windows = [window_texts(t, per_document) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(windows, pa.list_(pa.string()))], names=["doc_id", "label", "windows"])
 
-    got = sample.mapInArrow(cut, "doc_id long, crc long, label int, windows array<string>").collect()
-    got.sort(key=lambda r: (r.doc_id, r.crc))
+    got = sorted(sample.mapInArrow(cut, "doc_id long, label int, windows array<string>").collect(), key=lambda r: r.doc_id)
 
     def features(model: ToxicModel) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(model)
             for b in slices(batches):
-                texts = b.column(1).to_pylist()
-                crc = pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), crc, pa.array([_doc_features(x).tolist() for x in scorer.windows(texts)], pa.list_(pa.float64()))], names=["doc_id", "crc", "f"])
+                found = [_doc_features(x).tolist() for x in scorer.windows(b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "f"])
 
-        rows = sample.mapInArrow(run, "doc_id long, crc long, f array<double>").collect()
-        return np.array([r.f for r in sorted(rows, key=lambda r: (r.doc_id, r.crc))])
+        return np.array([r.f for r in sorted(sample.mapInArrow(run, "doc_id long, f array<double>").collect(), key=lambda r: r.doc_id)])
 
     model = fit_windows([r.windows for r in got], [r.label for r in got], features, steps)
     discard(sample)

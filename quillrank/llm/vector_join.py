@@ -53,7 +53,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def linked(vectors: DataFrame, cosine: float = 0.98, parts: int = 4, axes: int | None = None, sample_rows: int = 4096, chunk: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
-    Only vectors of one label (not null) and one length are compared. Null, zero or empty vectors, and those with a null
+    Only vectors of one label (not null; labels that are no integers by a 64-bit hash) and one length are compared. Null, zero or empty vectors, and those with a null
     or non-finite component, link with nothing: no links, their own component. Equal vectors of a label (equal 128-bit
     hashes) are one node of the join and link with each other by count. Null ids stay, with a null component unless a
     linked vector has an id. An empty table gives no rows; other columns are ignored. The rotation is fitted on at most
@@ -62,7 +62,9 @@ def linked(vectors: DataFrame, cosine: float = 0.98, parts: int = 4, axes: int |
     """
     single = "array<float>" in vectors.select("embedding").dtypes[0][1]
     values = F.col("embedding").cast("array<float>" if single else "array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("v"), F.col("label").cast("long").alias("label"))
+    whole = vectors.select("label").dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("v"), label.alias("label"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(fine & F.col("label").isNotNull(), F.lit(False)))
     rows = rows.withColumns({f"h{k}": F.when(F.col("ok"), F.xxhash64(F.lit(k), "label", "v")) for k in (1, 2)})

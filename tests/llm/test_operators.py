@@ -112,11 +112,11 @@ def test_grid_finds_all_links_at_any_width(spark, monkeypatch):
         least = {a: min(least[b] for b in fps if (a ^ b).bit_count() <= 4) for a in fps}
     want = {x for x in fps if least[x] != x}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    frame = spark.createDataFrame([(signed(x), signed(x)) for x in fps], "fp long, node long")
+    frame = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
     groups = {}
     for c in (2, 3, 4):
         monkeypatch.setattr(simhash, "agreeing", lambda n, bits, c=c: c)
-        found = components(simhash.links(frame, ["fp"], chunk=16))
+        found = components(simhash.links(frame, chunk=16))
         groups[c] = {(r.node, r.root) for r in found.collect()}
     assert groups[2] == groups[3] == groups[4]
     assert len(groups[2]) == len(want)
@@ -335,3 +335,22 @@ def test_pipeline_stages(spark):
         if k == len(P.STAGES) - 1:
             assert out.groupBy("bin").sum("words").where("`sum(words)` > 2048").count() == 0
         docs = out
+
+
+def test_labels_of_vectors_may_be_strings(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None), (5, [1.0, 0.01], "a")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_join.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (0, 4), 5: (2, 1)}
+
+
+def test_sample_of_labelled_rows_is_bounded(spark):
+    """An id that many rows share is one row of the sample; ids without a label, held out or null are none."""
+    from quillrank.llm.common import is_held_out
+    from quillrank.llm.samples import labelled
+
+    docs = edge(spark, [(1, f"text {k}") for k in range(50)] + [(d, f"t{d}") for d in range(2, 60)] + [(None, "x")] * 9)
+    labels = spark.createDataFrame([(d, d % 2, None) for d in range(1, 40)] + [(1, 0, None), (None, 1, None), (50, None, 1)], LABELS)
+    got = labelled(docs, labels, "quality", 8).collect()
+    assert len(got) == 16 and len({r.doc_id for r in got}) == 16 and not any(is_held_out(r.doc_id) for r in got)
+    every = {r.doc_id: (r.text, r.label) for r in labelled(docs, labels, "quality", 1000).collect()}
+    assert set(every) == {d for d in range(1, 40) if not is_held_out(d)} and every.get(1, ("text 0", 1)) == ("text 0", 1)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quillrank.llm import mixing, quality
+from quillrank.llm import common, mixing, quality
 
 from ..conftest import SF
 from .test_operators import LONG, edge
@@ -53,6 +53,13 @@ def test_stages_on_odd_rows(spark, odd, k):
     assert stage(spark, empty, SF).count() == 0
 
 
+def test_run_leaves_one_stage(spark, tmp_path, monkeypatch):
+    """Of what the run writes, the input of the last stage stays until the result is read."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assert P.run(spark, SF).count()
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["stage"]
+
+
 def test_run_is_its_stages(spark):
     """The whole run: no piece of a document that an earlier stage drops, and no personal data of the simple kinds left."""
     rows = P.run(spark, SF).collect()
