@@ -69,17 +69,22 @@ def embedding_completeness(spark, sf_dir):
     return rows.agg(F.bool_and(F.col("embedding").isNotNull()).alias("complete"), F.count("embedding").alias("n_embedded"))
 
 
-def _lookup(name: str, column: str, sql_column: str, out: str) -> None:
-    @query(name, f"SELECT CAST(e.user_id AS VARCHAR) AS id, {sql_column} AS {out} FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN (SELECT * FROM part LEFT JOIN embeddings ON vec_id = p_partkey) p ON p.p_partkey = e.user_id")
+def _lookup(name: str, column: str, **out: tuple) -> None:
+    """``out``: for each column of the result what it is of the looked-up one, in Spark and in SQL."""
+
+    @query(name, f"SELECT CAST(e.user_id AS VARCHAR) AS id, {', '.join(f'{x[1]} AS {c}' for c, x in out.items())} FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN (SELECT * FROM part LEFT JOIN embeddings ON vec_id = p_partkey) p ON p.p_partkey = e.user_id")
     def run(spark, sf_dir):
         ids = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
         found = C.lookup(C.precompute(I.vector_items(spark, sf_dir)), ids, column)
-        return found.select("id", (F.round(F.col(column)[0].cast("double"), 6) if column == "embedding" else F.col(column)).alias(out))
+        return found.select("id", *[x[0](F.col(column)).alias(c) for c, x in out.items()])
 
 
-_lookup("lookup_block", "text", "p_brand || ' ' || p_type", "block")
-_lookup("lookup_summary", "summary", "p_brand || ' ' || p_type", "summary")
-_lookup("lookup_embedding", "embedding", "round(embedding[1]::DOUBLE, 6)", "first_component")
+_lookup("lookup_block", "text", block=(lambda c: c, "p_brand || ' ' || p_type"))
+_lookup("lookup_summary", "summary", summary=(lambda c: c, "p_brand || ' ' || p_type"))
+_lookup(
+    "lookup_embedding", "embedding", n_components=(lambda c: F.when(c.isNotNull(), F.size(c).cast("long")), "len(embedding)::BIGINT"), first_component=(lambda c: F.round(c[0].cast("double"), 6), "round(embedding[1]::DOUBLE, 6)"),
+    by_place=(lambda c: F.round(F.aggregate(F.transform(c, lambda x, k: x.cast("double") * (k + 1)), F.lit(0.0), lambda a, x: a + x), 5), "round(list_sum(list_transform(embedding, lambda x, k: x::DOUBLE * k)), 5)"),
+)
 
 
 @query("dedupe_first_wins", "SELECT CAST(user_id AS VARCHAR) AS id, min(event_id)::BIGINT AS pos, arg_min(event_type, event_id) AS text FROM events GROUP BY user_id")
@@ -174,11 +179,11 @@ class LengthEmbedder:
         return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
 
 
-@query("stream_add_embed", "SELECT CAST(p_partkey AS VARCHAR) AS id, length(p_brand || ' ' || p_type)::BIGINT AS first FROM part")
+@query("stream_add_embed", "SELECT CAST(p_partkey AS VARCHAR) AS id, length(t)::BIGINT AS first, (length(t) - length(replace(t, ' ', '')))::BIGINT AS second, 1::BIGINT AS third FROM (SELECT p_partkey, p_brand || ' ' || p_type AS t FROM part)")
 def stream_add_embed(spark, sf_dir):
     corpus = _stream(spark, LengthEmbedder())
     corpus.apply(_as_adds(I.part_items(spark, sf_dir)), 0)
-    return corpus.snapshot().select("id", F.col("embedding")[0].cast("long").alias("first"))
+    return corpus.snapshot().select("id", *[F.col("embedding")[k].cast("long").alias(c) for k, c in enumerate(("first", "second", "third"))])
 
 
 @query("stream_snapshot_search", f"WITH {sql.scored('part', QUERY)} SELECT id, round(score, 6) AS score FROM scored WHERE score IS NOT NULL ORDER BY score DESC, pos LIMIT 20")
