@@ -97,10 +97,10 @@ def spanning(rows: DataFrame, columns: list[str], near: Callable[[dict[str, np.n
         return blocks_.select("block", "node", *columns).repartition("block").sortWithinPartitions("block", "node").mapInArrow(join, "a long, b long")
 
     count = F.count(F.lit(1)).alias("_n")
-    large = materialise(rows.groupBy("cell").agg(count).where(F.col("_n") > chunk), "large")
+    large = rows.groupBy("cell").agg(count).where(F.col("_n") > chunk).persist()
     few = large.limit(BROADCAST_CELLS + 1).count()
     if not few:
-        discard(large)
+        large.unpersist()
         return compared(rows.withColumn("block", F.col("cell")))
     sent = (lambda df: F.broadcast(df)) if few <= BROADCAST_CELLS else (lambda df: df)
     marked = rows.join(sent(large), "cell", "left")
@@ -116,7 +116,7 @@ def spanning(rows: DataFrame, columns: list[str], near: Callable[[dict[str, np.n
     tagged = hot.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("_root", F.coalesce("_root", "node"))
     sizes = tagged.groupBy("cell", "_root").agg(count).groupBy("cell").agg(F.max(F.struct("_n", "_root")).alias("_most"), F.sum("_n").alias("_all"))
     rest = F.col("_all") - F.col("_most._n")
-    open_ = materialise(sizes.where(rest > 0).select("cell", F.col("_most._root").alias("_top"), F.ceil(rest / chunk).cast("long").alias("_r")), "open")
+    open_ = sizes.where(rest > 0).select("cell", F.col("_most._root").alias("_top"), F.ceil(rest / chunk).cast("long").alias("_r")).persist()
     if not open_.isEmpty():
         # blocks of a chunk of the rest with a chunk of the largest component, or with another of the rest; nodes are roots
         ask = tagged.join(sent(open_), "cell")
@@ -128,7 +128,9 @@ def spanning(rows: DataFrame, columns: list[str], near: Callable[[dict[str, np.n
         more = ask.withColumn("block", F.explode(F.concat(with_top, with_rest))).select("block", F.col("_root").alias("node"), *columns)
         found = materialise(compared(more), "spans")
         edges = edges.unionByName(found)
-    for done in (large, hot, roots, open_):
+    for done in (large, open_):
+        done.unpersist()
+    for done in (hot, roots):
         discard(done)
     return edges
 

@@ -37,13 +37,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def _star(edges: DataFrame, large: bool, used: list[DataFrame]) -> DataFrame:
+#: Tables of edges are written in parts of at least so many rows, so that late rounds, which are small, write few files.
+PART_ROWS = 10_000
+
+
+def _star(edges: DataFrame, large: bool, used: list[DataFrame], parts: int) -> DataFrame:
     """One step; what it has written goes to ``used``."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # written: a join of two scans is one that adaptive execution can split
-    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "least")
     used.append(low)
     out = both.join(low, "u")
     if large:
@@ -67,8 +71,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("a != b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     sign = _sign(now)
     while sign[0]:
-        used = [now]
-        after = materialise(_star(_star(now, True, used), False, used), "stars")
+        used, parts = [now], 1 + sign[0] // PART_ROWS
+        after = materialise(_star(_star(now, True, used, parts), False, used, parts).coalesce(parts), "stars")
         for done in used:
             discard(done)
         was, now, sign = sign, after, _sign(after)
