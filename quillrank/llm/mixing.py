@@ -140,7 +140,7 @@ def shard_rows(docs: DataFrame, seed: int = 11, shards: int = 16, **how) -> Data
     A shard is a sequence of stretches, each of them whole and in order in one partition.
     """
     names = docs.columns
-    bits = max(4, (docs.count() // (shards * STRETCH)).bit_length())
+    bits = max(6, (docs.count() // (shards * STRETCH)).bit_length())
     out = mix(docs, seed=seed, shards=shards, **how).select(*names, F.posexplode("_mix_shards").alias("_mix_draw", "mix_shard"))
     shuffled = F.xxhash64(F.lit(seed + 3), F.col("doc_id"), F.col("text"), F.col("_mix_draw"))
     out = out.withColumn("_mix_order", shuffled)
