@@ -22,7 +22,6 @@ def _tokens(source: str, key: str, column: str, name: str) -> None:
 _tokens("documents", "doc_id", "text", "tokenize_documents")
 _tokens("pages", "page_id", "html", "tokenize_pages")
 
-GLUED = "html", "page_id", "pages"
 
 
 @query("tokenize_glue", f"SELECT page_id, t AS token, count(*)::BIGINT AS n FROM (SELECT page_id, unnest({sql.tokens('url')}) AS t FROM pages) WHERE contains(t, '.') OR contains(t, '''') GROUP BY page_id, t")
