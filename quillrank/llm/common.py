@@ -54,6 +54,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Written tables have parts of at least so many rows: small tables, and late rounds, are few files.
+PART_ROWS = 10_000
+
+
+def parts(rows: int) -> int:
+    """The most parts in which a table of so many rows is written, for ``coalesce``."""
+    return 1 + rows // PART_ROWS
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what ``materialise`` wrote, when nothing reads it any more."""
     path = getattr(df, "_quill_path", None)

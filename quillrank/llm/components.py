@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, parts
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,17 +37,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-#: Tables of edges are written in parts of at least so many rows, so that late rounds, which are small, write few files.
-PART_ROWS = 10_000
-
-
-def _star(edges: DataFrame, large: bool, used: list[DataFrame], parts: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, used: list[DataFrame], most: int) -> DataFrame:
     """One step; what it has written goes to ``used``."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # written: a join of two scans is one that adaptive execution can split
-    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "least")
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(most), "least")
     used.append(low)
     out = both.join(low, "u")
     if large:
@@ -61,18 +57,20 @@ def _sign(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """Columns ``node``, ``root``: the smallest node of its component, for every node of an edge but the roots.
 
     ``edges`` has long columns a and b; loops, repeats and either direction are fine; nulls are ignored. An empty table
-    gives an empty table. Rounds grow with the logarithm of the number of nodes.
+    gives an empty table. ``nodes``, if known, is how many there are, and decides in how many parts the edges are written
+    at first. Rounds grow with the logarithm of the number of nodes.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
-    now = materialise(edges.where("a != b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    apart = edges.where("a != b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    now = materialise(apart if nodes is None else apart.coalesce(parts(nodes)), "edges")
     sign = _sign(now)
     while sign[0]:
-        used, parts = [now], 1 + sign[0] // PART_ROWS
-        after = materialise(_star(_star(now, True, used, parts), False, used, parts).coalesce(parts), "stars")
+        used, most = [now], parts(sign[0])
+        after = materialise(_star(_star(now, True, used, most), False, used, most).coalesce(most), "stars")
         for done in used:
             discard(done)
         was, now, sign = sign, after, _sign(after)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import spanning
-from .common import discard, materialise, slices
+from .common import discard, materialise, parts, slices
 from .components import components
 
 SEED = 42
@@ -242,15 +242,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     their component is the smallest id that is not null, or null where there is none. An empty table gives no rows;
     columns other than the two named are ignored.
     """
-    marked = materialise(with_fingerprint(docs, words, id_col, text_col), "simhash")
-    nodes = materialise(marked.select("fp").distinct(), "fingerprints")
-    roots = components(links(nodes, bits))
+    n = docs.count()
+    marked = materialise(with_fingerprint(docs, words, id_col, text_col).coalesce(parts(n)), "simhash")
+    nodes = materialise(marked.select("fp").distinct().coalesce(parts(n)), "fingerprints")
+    roots = components(links(nodes, bits), n)
     # two written tables: a fingerprint that many rows share makes a join that adaptive execution can split
     rooted = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    rows = materialise(rooted, "rooted")
+    rows = materialise(rooted.coalesce(parts(n)), "rooted")
     for done in (marked, nodes, roots):
         discard(done)
-    least = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    least = materialise(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).coalesce(parts(n)), "least")
     return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -279,20 +280,22 @@ def deduplicate(docs: DataFrame, words: int = 5, likeness: float = 0.8) -> DataF
     equal in id and text one stays. Null texts are empty, and texts without words are one component. Ids, hashes and,
     of candidates, shingles are grouped; the texts are filtered by them.
     """
-    marked = materialise(with_sketch(docs, words), "sketches")
-    nodes = materialise(marked.groupBy(F.col("th").alias("node"), "size", *KEYS, *SIGNATURE).agg(F.min("doc_id").alias("one")), "nodes")
-    near = components(candidates(nodes, likeness))
+    most = parts(docs.count())
+    marked = materialise(with_sketch(docs, words).coalesce(most), "sketches")
+    nodes = materialise(marked.groupBy(F.col("th").alias("node"), "size", *KEYS, *SIGNATURE).agg(F.min("doc_id").alias("one")).coalesce(most), "nodes")
+    n = nodes.count()
+    near = components(candidates(nodes, likeness), n)
     groups = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
-    asked = materialise(nodes.select("node", "one").join(groups, "node").withColumnRenamed("root", "cell"), "candidates")
+    asked = materialise(nodes.select("node", "one").join(groups, "node").withColumnRenamed("root", "cell").coalesce(most), "candidates")
     text = F.col("text").cast("string")
     mine = (text_hash(text) == F.col("node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("one"))
     texts = docs.select("doc_id", "text").join(asked, mine).select("node", "cell", text.alias("text"))
-    found = verified(texts, words, likeness)
-    roots = components(found)
+    found = verified(texts.coalesce(most), words, likeness)
+    roots = components(found, n)
     rows = marked.select("doc_id", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
     each = rows.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("k"))
-    keep = materialise(first.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.th").alias("_keep_th"), F.col("k.n").alias("_keep_n")), "keepers")
+    keep = materialise(first.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.th").alias("_keep_th"), F.col("k.n").alias("_keep_n")).coalesce(most), "keepers")
     for done in (marked, nodes, near, asked, found, roots):
         discard(done)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (text_hash(F.col("text").cast("string")) == F.col("_keep_th"))
