@@ -2,15 +2,19 @@
 
 The chance that document a is preferred to b is modelled as sigmoid(w . (x_a - x_b)), where x are features of the whole
 text: shares of characters, words and lines, and hashed frequencies of words and of three-byte grams. w minimises the
-logistic loss over pairs of a document labelled 1 and one labelled 0. The raw score w . x of a text has no natural zero,
-so the bar is a quantile of the training scores: the share of label 0 among the labelled rows.
+logistic loss over all pairs of a document labelled 1 and one labelled 0. The raw score w . x of a text has no natural
+zero, so the bar is a quantile of the training scores: the share of label 0 among the labelled rows.
+
+Every labelled document enters the fit and the bar, and none of them comes to the driver: the loss of a row against all of
+the other class depends on that class only through the counts of its scores, so each Newton step takes one pass for the
+counts and one for the sums of gradient and curvature.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from math import log, log1p
 from zlib import crc32
 
@@ -19,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, is_held_out, slices
-from .samples import labelled
+from .common import discard, held_out, is_held_out, materialise, parts, slices
 
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
 _MARKS = np.frombuffer(b"*#%&$~^=+<>@\\/_", np.uint8).astype(int)
@@ -76,6 +79,10 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.abs(x[:, : len(FEATURES)]))], axis=1)
 
 
+#: Raw scores are multiples of this.
+STEP = 2.0**-20
+
+
 @dataclass(frozen=True)
 class QualityModel:
     mean: np.ndarray
@@ -84,8 +91,16 @@ class QualityModel:
     bar: float  # the raw score that is mapped to ``at``
     at: float = 0.3
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        """Expanded features in deviations from the mean; in single precision first, as the fit reads them."""
+        return ((expand(x.astype(np.float32).astype(float)) - self.mean) / self.scale).clip(-8, 8)
+
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """The raw score in whole steps of ``STEP``, which do not depend on what rows are multiplied at once."""
+        return np.rint(self.standard(x) @ self.weight / STEP).astype(np.int64)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((expand(x) - self.mean) / self.scale).clip(-8, 8) @ self.weight
+        return self.steps(x) * STEP
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """In (0, 1); ``at`` or more exactly where the raw score reaches the bar."""
@@ -93,64 +108,188 @@ class QualityModel:
         return np.where(self.raw(x) >= self.bar, np.maximum(out, self.at), np.minimum(out, np.nextafter(self.at, 0)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, share_low: float | None = None, at: float = 0.3, pairs: int = 1024, rounds: int = 400, seed: int = 5) -> QualityModel:
-    """Weights by Adam on the logistic loss of random preference pairs, and the bar at quantile ``share_low`` of the scores.
+#: Nodes of the grid on which scores are counted; a score is shared between its two neighbours, so what is read off the
+#: grid errs by a square of its spacing (1e-5 of a pair's chance at scores of a few hundred).
+NODES = 16385
+#: The curvature of pairs is kept on these scores. It shapes the steps; where they end is up to the gradient.
+COARSE = np.arange(-32, 33, 0.5)
+#: Lengths of a Newton step, of which the best is taken.
+LENGTHS = (1.0, 0.5, 0.25, 0.0625)
 
-    ``share_low`` defaults to the share of label 0. With one class only there are no pairs: all weights are 0, and every
-    text is on the side of that class (without any rows: accepted).
-    """
-    e = expand(x.reshape(-1, WIDTH).astype(np.float32))
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    mean, scale = (e.mean(axis=0, dtype=float), e.std(axis=0, dtype=float) + 1e-3) if len(e) else (np.zeros(e.shape[1]), np.ones(e.shape[1]))
-    w = np.zeros(e.shape[1])
-    if not len(good) or not len(bad):
-        return QualityModel(mean, scale, w, 1.0 if len(bad) else -1.0, at)
-    e -= mean.astype(np.float32)  # in place, as are the next: this is the largest table of the driver
-    e /= scale.astype(np.float32)
-    z, rng = e.clip(-8, 8, out=e), np.random.default_rng(seed)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    pull = np.full(len(w), 1e-3)
-    pull[len(FEATURES) : WIDTH] = 1e-2  # of the many hashed features none may carry much alone
-    for step in range(1, rounds + 1):
-        d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-        p = 1 / (1 + np.exp((d @ w).clip(-40, 40)))  # the chance given to the wrong order
-        g = -(d * p[:, None]).mean(axis=0) + pull * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    share = float((y == 0).mean()) if share_low is None else share_low
-    # each class weighs what it does among all rows, whatever its share of the sample
-    bar = quantile(z @ w, np.where(y == 0, share / len(bad), (1 - share) / len(good)), share)
-    return QualityModel(mean, scale, w, bar, at)
+
+def total(rows: DataFrame, each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of ``each`` (features, labels) over all of ``rows``, added up on the executors; None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sum(each(b.column(1).flatten().to_numpy().reshape(-1, WIDTH), b.column(0).to_numpy()) for b in slices(batches, 4096))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sum(np.frombuffer(x.as_py()) for b in batches for x in b.column(0))
+
+    got = rows.select("label", "x").mapInArrow(run, "total binary").repartition(2).mapInArrow(add, "total binary").toArrow()
+    found = [np.frombuffer(x.as_py()) for x in got["total"]]
+    return np.sum(found, axis=0) if found else None
 
 
-def quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
-    """Between the last value up to which there is less than ``share`` of the weight, or just that, and the next one."""
-    order = np.argsort(values, kind="stable")
-    cut = int(np.searchsorted(np.cumsum(weights[order]), share * weights.sum() - 1e-9))
-    return float(values[order][cut : cut + 2].mean())
+def _sum(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    out = None
+    for x in found:
+        out = np.array(x, float) if out is None else np.add(out, x, out=out)
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["total"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, at: float = 0.3) -> QualityModel:
-    """Fit on at most ``per_class`` documents of each class, features computed on the executors.
+def shared(values: np.ndarray, nodes: np.ndarray, weights: np.ndarray | float = 1.0) -> np.ndarray:
+    """Counts of ``values`` on equally spaced nodes, each value shared between its two neighbours; beyond the ends, at the end."""
+    at = ((values - nodes[0]) / (nodes[1] - nodes[0])).clip(0, len(nodes) - 1)
+    low = np.minimum(at.astype(np.int64), len(nodes) - 2)
+    up = at - low
+    return np.bincount(low, (1 - up) * weights, len(nodes)) + np.bincount(low + 1, up * weights, len(nodes))
 
-    The quantile is that of the sample weighted back to the classes' shares among all labelled rows that aren't held out.
+
+def against(counts: np.ndarray, nodes: np.ndarray, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each node the sum over all counts of ``of`` (the node less the count's node)."""
+    n = len(nodes)
+    kernel = of(np.arange(1 - n, n) * (nodes[1] - nodes[0]))
+    size = 1 << (3 * n).bit_length()
+    return np.fft.irfft(np.fft.rfft(counts, size) * np.fft.rfft(kernel, size), size)[n - 1 : 2 * n - 1]
+
+
+def chance(d: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-d.clip(-700, 700)))
+
+
+def fit(rows: DataFrame, at: float = 0.3, rounds: int = 30) -> QualityModel:
+    """The least mean logistic loss of all pairs of ``rows`` (label 0 or 1, x the features), and the bar.
+
+    Newton's steps, each of the length with the least loss, until a step promises less than 1e-9. The bar is at the
+    quantile of the scores that is the share of label 0. With one class only there are no pairs: all weights are 0, and
+    every text is on the side of that class (without any rows: accepted).
+    """
+
+    def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        e = expand(x.astype(float))
+        return np.concatenate([[(y == 1).sum(), (y == 0).sum()], e.sum(axis=0), (e * e).sum(axis=0)])
+
+    wide = WIDTH + len(FEATURES)
+    got = total(rows, moments)
+    good, bad = (int(got[0]), int(got[1])) if got is not None else (0, 0)
+    mean, scale = np.zeros(wide), np.ones(wide)
+    if good + bad:
+        mean = got[2 : 2 + wide] / (good + bad)
+        scale = np.sqrt(np.maximum(0, got[2 + wide :] / (good + bad) - mean**2)) + 1e-3
+    # rounded, as are the weights: the order in which parts are added leaves no trace
+    model = QualityModel(mean.astype(np.float32).astype(float), scale.astype(np.float32).astype(float), np.zeros(wide), 1.0 if bad else -1.0, at)
+    if not good or not bad:
+        return model
+    pull = np.full(wide, 1e-3)
+    pull[len(FEATURES) : WIDTH] = 1e-2  # of the many hashed features none may carry much alone
+    pairs = float(good) * bad
+    nodes = np.linspace(-1, 1, NODES)
+    counts = np.stack([shared(np.zeros(1), nodes, n) for n in (bad, good)])
+    loss = log(2)
+    for _ in range(rounds):
+        gradient, curve = slope(rows, model, nodes, counts, pairs)
+        gradient += pull * model.weight
+        move = -np.linalg.solve(curve + np.diag(pull), gradient)
+        if -(gradient @ move) < 1e-9:
+            break
+        nodes, each = tried(rows, model, move)
+        losses = []
+        for length, c in zip(LENGTHS, each, strict=True):
+            w = model.weight + length * move
+            losses.append(float(c[1] @ against(c[0], nodes, lambda d: np.logaddexp(0, -d))) / pairs + float(pull @ (w * w)) / 2)
+        best = int(np.argmin(losses))
+        if losses[best] >= loss:
+            break
+        loss, counts = losses[best], each[best]
+        model = replace(model, weight=np.rint((model.weight + LENGTHS[best] * move) * 2.0**24) / 2.0**24)
+    return replace(model, bar=bar(rows, model, bad))
+
+
+def slope(rows: DataFrame, model: QualityModel, nodes: np.ndarray, counts: np.ndarray, pairs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the mean loss of all pairs, given the ``counts`` (label 0, label 1) of the model's scores."""
+    wrong = np.stack([against(counts[1], nodes, chance), -against(counts[0], nodes, lambda d: chance(-d))]) / pairs
+    bent = chance(COARSE[:, None] - COARSE)
+    bent *= 1 - bent
+    held = np.stack([shared(nodes, COARSE, c) for c in counts])
+    spread = np.stack([held[1] @ bent, held[0] @ bent]) / pairs
+    wide, k = len(model.weight), len(COARSE)
+
+    def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = model.standard(x)
+        s = z @ model.weight
+        out = [z.T @ np.where(y == 1, np.interp(s, nodes, wrong[1]), np.interp(s, nodes, wrong[0]))]
+        half = z * np.sqrt(np.where(y == 1, np.interp(s, COARSE, spread[1]), np.interp(s, COARSE, spread[0])))[:, None]
+        out.append((half.T @ half).ravel())
+        place = ((s - COARSE[0]) / (COARSE[1] - COARSE[0])).clip(0, k - 1)
+        low = np.minimum(place.astype(np.int64), k - 2)
+        row, share = np.arange(len(z)), np.zeros((len(z), k))
+        share[row, low], share[row, low + 1] = 1 - (place - low), place - low
+        out += [(share[y == v].T @ z[y == v]).ravel() for v in (0, 1)]
+        return np.concatenate(out)
+
+    got = total(rows, sums)
+    gradient, own, sides = got[:wide], got[wide : wide + wide * wide].reshape(wide, wide), got[wide + wide * wide :].reshape(2, k, wide)
+    both = sides[1].T @ bent @ sides[0] / pairs
+    return gradient, own - both - both.T
+
+
+def tried(rows: DataFrame, model: QualityModel, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A grid that holds all scores, and on it the counts (label 0, label 1) of the scores after each of ``LENGTHS``."""
+    most = 8 * max(float(np.abs(model.weight + t * move).sum()) for t in LENGTHS) + 1e-3
+    nodes = np.linspace(-most, most, NODES)
+
+    def count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = model.standard(x)
+        here, there = z @ model.weight, z @ move
+        return np.concatenate([shared((here + t * there)[y == v], nodes) for t in LENGTHS for v in (0, 1)])
+
+    return nodes, total(rows, count).reshape(len(LENGTHS), 2, NODES)
+
+
+def bar(rows: DataFrame, model: QualityModel, low: int) -> float:
+    """Half-way between the ``low``-th least raw score of ``rows`` and the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(model.steps(b.column(0).flatten().to_numpy().reshape(-1, WIDTH)))], names=["s"])
+
+    found = rows.select("x").mapInArrow(run, "s long")
+    count = F.count(F.lit(1)).alias("n")
+    head, below = F.shiftright("s", 16), 0
+    for h in sorted(found.groupBy(head.alias("h")).agg(count).collect()):
+        if below + h.n >= low:
+            break
+        below += h.n
+    for r in sorted(found.where(head == h.h).groupBy("s").agg(count).collect()):
+        below += r.n
+        if below >= low:
+            break
+    after = r.s if below > low else found.where(F.col("s") > r.s).agg(F.min("s")).first()[0]
+    return (r.s + after) / 2 * STEP
+
+
+def train(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> QualityModel:
+    """Fit on every document with a label that isn't held out, features computed on the executors.
+
+    Null labels and ids are left out; of labels for one id the largest counts, for all rows of that id.
     """
-    rows = labelled(docs, labels, "quality", per_class)
+    seen = lambda df: df.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long"))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    known = seen(labels.where(F.col("quality").isin(0, 1))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = np.array([features(t) for t in b.column(1).to_pylist()], np.float32).reshape(-1, WIDTH)
+            x = np.array([features(t) for t in b.column(1).to_pylist()], np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], names=["doc_id", "label", "x"])
-
-    got = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<float>").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy())
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)[order] if len(order) else np.zeros((0, WIDTH), np.float32)
-    y = got["label"].to_numpy()[order]
-    del got
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    share = {r.q: r.n for r in known.groupBy(F.col("quality").alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    return fit(x, y, share.get(0, 0) / max(1, sum(share.values())), at)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "x"])
+
+    # features are joined, not texts: they are smaller, and labels of any number need no broadcast
+    marked = seen(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    rows = materialise(marked.join(known.hint("merge"), "doc_id").select("label", "x").coalesce(parts(known.count())), "features")
+    model = fit(rows, at)
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

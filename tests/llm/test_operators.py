@@ -354,3 +354,25 @@ def test_sample_of_labelled_rows_is_bounded(spark):
     assert len(got) == 16 and len({r.doc_id for r in got}) == 16 and not any(is_held_out(r.doc_id) for r in got)
     every = {r.doc_id: (r.text, r.label) for r in labelled(docs, labels, "quality", 1000).collect()}
     assert set(every) == {d for d in range(1, 40) if not is_held_out(d)} and every.get(1, ("text 0", 1)) == ("text 0", 1)
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """The weights are at the least loss of all pairs, the bar at the quantile of all rows, brute force says."""
+    from quillrank.llm.common import is_held_out
+
+    rng = random.Random(4)
+    rows = [(d, " ".join(f"w{int(rng.gauss(20 + 4 * (d % 2), 6))}" for _ in range(rng.randint(4, 12)))) for d in range(15_600)]
+    labels = spark.createDataFrame([(d, d % 2, None) for d, _ in rows], LABELS)
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    x = {v: np.array([quality.features(t) for d, t in rows if d % 2 == v and not is_held_out(d)]) for v in (0, 1)}
+    assert min(len(x[0]), len(x[1])) > 6000
+    raw = np.sort(model.raw(np.concatenate([x[0], x[1]])))
+    assert model.bar == (raw[len(x[0]) - 1] + raw[len(x[0])]) / 2
+    z = {v: model.standard(x[v]) for v in x}
+    s = {v: z[v] @ model.weight for v in x}
+    wrong = [1 / (1 + np.exp(a - s[0])) for a in s[1]]
+    pairs = len(x[0]) * len(x[1])
+    gradient = (sum(wrong) @ z[0] - np.array([w.sum() for w in wrong]) @ z[1]) / pairs
+    pull = np.full(len(model.weight), 1e-3)
+    pull[len(quality.FEATURES) : quality.WIDTH] = 1e-2
+    assert np.abs(gradient + pull * model.weight).max() < 1e-4 < 0.05 < np.abs(model.weight).max()
