@@ -39,7 +39,11 @@ def fingerprint(text: str | bytes | None, words: int = 4) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, len(found) - words + 1)
+    return majority(np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, len(found) - words + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -135,8 +139,8 @@ KEYS, SIGNATURE = tuple(f"k{i}" for i in range(BANDS)), tuple(f"s{i}" for i in r
 _RANKINGS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | bytes | None, words: int = 5) -> np.ndarray:
-    """The ascending distinct hashes of all runs of ``words`` words; one of the whole text where it has fewer, 0 where none."""
+def runs(text: str | bytes | None, words: int = 5) -> np.ndarray:
+    """The hashes of all runs of ``words`` words, in text order; one of the whole text where it has fewer, 0 where none."""
     raw = b"" if text is None else text.encode() if isinstance(text, str) else text
     found = raw.lower().split()
     if not found:
@@ -144,10 +148,15 @@ def shingles(text: str | bytes | None, words: int = 5) -> np.ndarray:
     hash_of = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
     one = np.fromiter((hash_of[w] for w in found), np.uint64, len(found))
     n = max(1, len(one) - words + 1)
-    runs = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.uint64)
     for k in range(min(words, len(one))):  # the order of the words counts
-        runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + one[k : k + n]
-    return np.unique(runs)
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + one[k : k + n]
+    return out
+
+
+def shingles(text: str | bytes | None, words: int = 5) -> np.ndarray:
+    """The ascending distinct hashes of ``runs``."""
+    return np.unique(runs(text, words))
 
 
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +212,21 @@ def candidates(nodes: DataFrame, likeness: float, chunk: int = 2048) -> DataFram
     return spanning(filed, ["size", *SIGNATURE], near, chunk, 16384)
 
 
+def close(nodes: DataFrame, bits: int, n: int) -> DataFrame:
+    """Edges (a, b) that span the components of the ``n`` texts ``node`` whose fingerprints ``fp`` differ in at most ``bits`` bits.
+
+    Texts with equal fingerprints are linked through the shared fingerprint, as in ``near_duplicates``.
+    """
+    prints = materialise(nodes.select("fp").distinct().coalesce(parts(n)), "fingerprints")
+    roots = components(links(prints, bits), n)
+    rooted = materialise(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root")).coalesce(parts(n)), "rooted")
+    for done in (prints, roots):
+        discard(done)
+    out = rooted.join(rooted.groupBy("root").agg(F.min("node").alias("b")), "root").where("node != b").select(F.col("node").alias("a"), "b")
+    out._quill_path = rooted._quill_path  # for discard()
+    return out
+
+
 def verified(texts: DataFrame, words: int, likeness: float, chunk: int = 1024) -> DataFrame:
     """Edges that span the components of texts of one group whose shingles are ``likeness`` alike, compared whole.
 
@@ -256,35 +280,43 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
 
 
 def with_sketch(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Columns doc_id, th (hash of the text), size (number of shingles) and the sketch, a row for each of ``docs``."""
-    names = ["doc_id", "th", "size", *KEYS, *SIGNATURE]
+    """Columns doc_id, th (hash of the text), size (number of shingles), fp (SimHash) and the sketch, a row for each of ``docs``."""
+    names = ["doc_id", "th", "size", "fp", *KEYS, *SIGNATURE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [shingles(t, words) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            got = np.array([np.concatenate(sketch(x)) for x in sets], np.uint64).view(np.int64)
-            size = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, *[pa.array(x) for x in np.ascontiguousarray(got.T)]], names=names)
+            size, fp, got = [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                every = runs(t, words)
+                distinct = np.unique(every)
+                size.append(len(distinct))
+                fp.append(majority(every))
+                got.append(np.concatenate(sketch(distinct)))
+            got, fp = np.array(got, np.uint64).view(np.int64), np.array(fp, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(fp), *[pa.array(x) for x in np.ascontiguousarray(got.T)]], names=names)
 
     text = F.col("text").cast("string")
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text"))
     return kept.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def deduplicate(docs: DataFrame, words: int = 5, likeness: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, likeness: float = 0.8, bits: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: of each component the one with the smallest id (ties: the least hash of the text).
 
-    Texts are linked when the Jaccard likeness of their sets of ``words``-word shingles is at least ``likeness``. Shingle
-    minima draw the candidates (``BANDS`` and ``ROWS`` suit likenesses of about 0.8 and up); in each component of
-    candidates the shingles are compared whole. A row with a null id stays only where its component has no other; of rows
+    Texts are linked when the Jaccard likeness of their sets of ``words``-word shingles is at least ``likeness``. Candidates
+    are the texts whose SimHash fingerprints of the shingles differ in at most ``bits`` bits, by the grid of segment counts,
+    and, as fingerprints of texts so little alike mostly differ in more, those that share shingle minima (``BANDS`` and
+    ``ROWS`` suit likenesses of about 0.8 and up); in each component of candidates the shingles are compared whole. A row with a null id stays only where its component has no other; of rows
     equal in id and text one stays. Null texts are empty, and texts without words are one component. Ids, hashes and,
     of candidates, shingles are grouped; the texts are filtered by them.
     """
     most = parts(docs.count())
     marked = materialise(with_sketch(docs, words).coalesce(most), "sketches")
-    nodes = materialise(marked.groupBy(F.col("th").alias("node"), "size", *KEYS, *SIGNATURE).agg(F.min("doc_id").alias("one")).coalesce(most), "nodes")
+    nodes = materialise(marked.groupBy(F.col("th").alias("node"), "size", "fp", *KEYS, *SIGNATURE).agg(F.min("doc_id").alias("one")).coalesce(most), "nodes")
     n = nodes.count()
-    near = components(candidates(nodes, likeness), n)
+    linked = close(nodes, bits, n)
+    near = components(candidates(nodes, likeness).unionByName(linked), n)
+    discard(linked)
     groups = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     asked = materialise(nodes.select("node", "one").join(groups, "node").withColumnRenamed("root", "cell").coalesce(most), "candidates")
     text = F.col("text").cast("string")

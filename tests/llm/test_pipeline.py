@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quillrank.llm import common, mixing, quality
+from quillrank.llm import common, mixing, quality, simhash
+from quillrank.llm.components import components
 
 from ..conftest import SF
 from .test_operators import LONG, edge
@@ -100,3 +101,21 @@ def test_near_dedup_against_brute_force(spark):
     want = {d for k, (d, _) in enumerate(rows) if least[k] == d}
     got = P.STAGES[1][1](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert {r.doc_id for r in got} == want and len(want) < len(rows) - 20
+
+
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """Without the candidates of shingle minima, texts within 4 bits of a fingerprint are still found, and compared whole."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(10_000 + d, text + " end") for d, text in rows if len(text.split()) > 200]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {t: simhash.majority(simhash.runs(t)) for _, t in rows}
+    root = {t: t for t in fp}
+    for x in fp:  # components over all pairs
+        near = {root[y] for y in fp if (fp[x] ^ fp[y]).bit_count() <= 4}
+        root = {t: min(near) if r in near else r for t, r in root.items()}
+    marked = simhash.with_sketch(table).distinct()
+    links = components(simhash.close(marked.selectExpr("th as node", "fp").distinct(), 4, len(fp)))
+    assert links.count() == len(fp) - len(set(root.values())) > 50
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, likeness: spark.createDataFrame([], "a long, b long"))
+    kept = {r.doc_id for r in P.STAGES[1][1](spark, table, SF).collect()}
+    assert sum(d >= 10_000 for d, _ in rows) > 50 and all(d < 10_000 or (fp[t] ^ fp[t.removesuffix(" end")]).bit_count() > 4 for d, t in rows if d in kept)
