@@ -50,27 +50,27 @@ def fold_sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
-def _float_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0).cast("float"), lambda acc, x: (acc + x).cast("float"))
+def _products(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Dot product with single-precision steps."""
-    return _float_sum(F.zip_with(a, b, lambda x, y: (x * y).cast("float")))
+    """Dot product of single-precision vectors in double precision, as SQL has it: single steps move scores over a rounding border."""
+    return _products(a, b)
 
 
 def square_norm(a: Column) -> Column:
-    return _float_sum(F.transform(a, lambda x: (x * x).cast("float")))
+    return _products(a, a)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in single precision, widened at the end; 0 for null, empty, unequal or zero vectors."""
-    size = (F.sqrt(square_norm(a)).cast("float") * F.sqrt(square_norm(b)).cast("float")).cast("float")
+    """Cosine in double precision, within [-1, 1]; 0 for null, empty, unequal or zero vectors."""
+    size = F.sqrt(square_norm(a) * square_norm(b))
     fine = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (size > 0)
-    return F.when(F.coalesce(fine, F.lit(False)), (dot(a, b) / size).cast("float").cast("double")).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(fine, F.lit(False)), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))).otherwise(F.lit(0.0))
 
 
 def matvec(row: Column, query: Column, dimension: int) -> Column:
     """Dot product of a row of a matrix with a query vector; 0 unless both have ``dimension`` entries."""
     fine = (F.size(row) == dimension) & (F.size(query) == dimension)
-    return F.when(F.coalesce(fine, F.lit(False)), dot(row, query)).otherwise(F.lit(0.0).cast("float"))
+    return F.when(F.coalesce(fine, F.lit(False)), dot(row, query)).otherwise(F.lit(0.0))

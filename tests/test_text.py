@@ -54,3 +54,11 @@ def test_trigrams_are_windows_of_clusters(spark):
     for r in rows:
         parts = regex.findall(r"\X", r.t.lower())
         assert r.g == ["".join(parts[k : k + 3]) for k in range(len(parts) - 2)]
+
+
+def test_cosine_rounds_as_in_double_precision(spark):
+    from quillrank.functions.similarity import cosine
+
+    a, b = [-0.41, -0.59, 0.3, -0.68], [-0.86, 0.35, -0.34, -1.27]  # 0.545549989 in single steps, 0.545550023 in double ones
+    row = spark.createDataFrame([(a, b)], "a array<float>, b array<float>")
+    assert row.select(F.round(cosine(F.col("a"), F.col("b")), 4)).first()[0] == 0.5456
