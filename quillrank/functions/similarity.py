@@ -31,6 +31,16 @@ def trigram_score(query_set: Column, primary_set: Column, body_set: Column) -> C
     return F.lit(PRIMARY_WEIGHT) * dice_sets(query_set, primary_set) + F.lit(BODY_WEIGHT) * dice_sets(query_set, body_set)
 
 
+def trigram_counts(n_query: int, primary: str, body: str) -> Column:
+    """``trigram_score`` from the sizes of a row's sets and of what they share with a set of ``n_query``."""
+
+    def one(f: str) -> Column:
+        both, size = F.col(f"{f}_both"), F.col(f"{f}_size")
+        return F.when((size > 0) & (F.lit(n_query) > 0), F.lit(2.0) * both / (F.lit(n_query) + size)).otherwise(F.lit(0.0))
+
+    return F.lit(PRIMARY_WEIGHT) * one(primary) + F.lit(BODY_WEIGHT) * one(body)
+
+
 def idf(n: Column, df: Column) -> Column:
     """ln(1 + (N - df + 1/2) / (df + 1/2)), never negative."""
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import B, K1, cosine, fold_sum, idf, term_weight, trigram_score
+from ..functions.similarity import B, K1, cosine, fold_sum, idf, term_weight, trigram_counts, trigram_score
 from ..functions.text import canonical_trigrams, evaluate, tokenize
 from .corpus import query_stats, trigram_index
 from .ranking import SIGNALS, SignalWeights, fuse_ranks, global_rank, rank_positive
@@ -42,7 +42,10 @@ def _signals(corpus: DataFrame, query: str, cosine_of, digits: int | None) -> tu
     tokens, grams = evaluate(corpus.sparkSession, query, tokenize, canonical_trigrams)
     terms = sorted(set(tokens))
     n, average, df = query_stats(corpus, terms)
-    tri = trigram_score(F.lit(grams) if grams else F.array().cast("array<string>"), F.col("primary_tri"), F.col("body_tri"))
+    if "primary_both" in corpus.columns:  # of ``query_corpus``
+        tri = trigram_counts(len(grams), "primary", "body")
+    else:
+        tri = trigram_score(F.lit(grams) if grams else F.array().cast("array<string>"), F.col("primary_tri"), F.col("body_tri"))
     cos = F.lit(0.0) if cosine_of is None else cosine_of if isinstance(cosine_of, Column) else cosine(F.lit([float(x) for x in cosine_of]).cast("array<float>"), F.col("embedding"))
     cols = {"bm25": bm25_column(terms, n, average, df), "trigram": tri, "cosine": F.coalesce(cos.cast("double"), F.lit(0.0))}
     return corpus.select("pos", "id", *[_round(c, digits).alias(s) for s, c in cols.items()]), n

@@ -133,3 +133,24 @@ def test_global_rank_equals_window(spark):
     a = {r.pos: r.k for r in global_rank(rows, "s", "k").collect()}
     b = {r.pos: r.k for r in rows.withColumn("k", rank_positive(F.col("s"))).collect()}
     assert a == b
+
+
+SCRIPTS = ["", "fetchRow parseXMLNode can't a.'b .x.", "Größe_maxWert naïve ÀÉîõ İstanbul ŒUVREs", "Cafés élan", "한국어 текст Ελλάς ΣΑΣ", "a’b “quoted” — 5€ ½ cup xª", "tail\U0001f468‍\U0001f469x", "same same\r\nsame", "ﬁne ĲSSEL ŉa ſharp ŐűŐ"]
+
+
+def scripts(spark):
+    return create_items(spark, [{"id": str(k), "primary_text": SCRIPTS[-k - 1] or "none", "text": t} for k, t in enumerate(SCRIPTS)])
+
+
+def test_precompute_equals_expressions(spark):
+    """The corpus comes from arrays of characters, but for other scripts; tokens and sets are those of the expressions."""
+    from quillrank.functions.text import canonical_trigrams, tokenize
+
+    want = scripts(spark).select("id", *[f(F.col(c)).alias(n) for c, k in (("primary_text", "p"), ("text", "b")) for f, n in ((tokenize, f"{k}t"), (canonical_trigrams, f"{k}g"))])
+    made = build_corpus(scripts(spark))
+    assert "HashAggregate" not in made._jdf.queryExecution().toString() and "MapInArrow" in made._jdf.queryExecution().toString()
+    got = {r.id: r for r in made.collect()}
+    for r in want.collect():
+        assert got[r.id].doc_len == len(r.pt) + len(r.bt) and got[r.id].primary_tri == r.pg and got[r.id].body_tri == r.bg
+        assert got[r.id].wtf == {t: 5.0 * r.pt.count(t) + r.bt.count(t) for t in {*r.pt, *r.bt}}
+        assert got[r.id].summary == got[r.id].text == SCRIPTS[int(r.id)]
