@@ -105,7 +105,7 @@ def bm25_df(spark, sf_dir):
 def bm25_idf(spark, sf_dir):
     rows = I.document_items(spark, sf_dir)
     n = float(rows.select("id").distinct().count())
-    df = _posts(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = C.document_frequencies(C.first_by_id(rows))
     return df.select("term", "df", r6(S.idf(F.lit(n), F.col("df").cast("double"))).alias("idf"))
 
 

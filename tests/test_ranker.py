@@ -164,3 +164,12 @@ def test_query_corpus_scores_as_the_whole(spark, query):
     slim = query_corpus(scripts(spark), query)
     assert not {"text", "summary", "primary_tri", "body_tri"} & set(slim.columns)
     assert full_ordering(slim, query, digits=9).collect() == full_ordering(build_corpus(scripts(spark)), query, digits=9).collect()
+
+
+def test_document_frequencies_move_terms_only(spark):
+    from quillrank.operators.corpus import document_frequencies
+
+    found = document_frequencies(scripts(spark))
+    want = postings(scripts(spark)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
