@@ -173,3 +173,14 @@ def test_document_frequencies_move_terms_only(spark):
     want = postings(scripts(spark)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
+
+
+@pytest.mark.parametrize("name", ["bm25_score", "hybrid_score", "top_matches"])
+def test_single_queries_keep_no_trigrams(spark, name):
+    from quillrank import registry
+
+    from .conftest import SF
+
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    spark.catalog.clearCache()
+    assert "body_tri" not in plan and "body_both" in plan
