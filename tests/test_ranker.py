@@ -184,3 +184,11 @@ def test_single_queries_keep_no_trigrams(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     spark.catalog.clearCache()
     assert "body_tri" not in plan and "body_both" in plan
+
+
+def test_postings_are_counted_row_by_row(spark):
+    found = postings(scripts(spark))
+    assert not {"Exchange", "Aggregate"} & set(found._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    whole = {r.id: r.wtf for r in build_corpus(scripts(spark)).collect()}
+    assert {(r.id, r.term): r.tf for r in found.collect()} == {(k, t): n for k, m in whole.items() for t, n in m.items()}
